@@ -19,6 +19,12 @@ names as (select feature_name as term, transcript_id, case when cell_id <> -1 th
 labels as (select * from (select regexp_replace(cluster, '[^A-Za-z0-9]', '', 'g') as term, barcode from annotation) where term <> '')"""
 
 ORACLES = {
+    "p2_found": """
+with ok as (select cell_id, min(x_vec) as v from cell_table
+            where len(x_vec) = 64 and list_bool_and([isfinite(e) for e in x_vec]) and list_bool_or([e <> 0 for e in x_vec]) group by cell_id),
+s as (select a.cell_id as a, b.cell_id as b, list_cosine_similarity(a.v::double[], b.v::double[]) as c from ok a, ok b where a.cell_id <> b.cell_id),
+r as (select a, b, c, row_number() over (partition by a order by round(c, 9) desc, b) as rk from s)
+select distinct least(a, b) as cell_id_a, greatest(a, b) as cell_id_b from r where rk <= 5 and c >= 0.95""",
     "p3_counts": f"""
 with {COUNTS}
 select 'feature_name' as field, term, count(*) as occurrences, count(distinct cell) as records from names where term is not null group by term

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histolith.llm import sketches, terms
+from histolith.llm import bpe, sketches, terms, vectors
 from histolith.operators.latest import clean_name, latest_rows
 from histolith.session import materialize, table
 
@@ -62,4 +62,16 @@ def p4_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return sketches.quantiles(sketches.merge(days, ["feature_name"], ["qv", "z"]), ["feature_name"], ["qv", "z"], [0.1, 0.25, 0.5, 0.75, 0.9, 0.99])
 
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}
+VECTOR_DIM, MIN_COSINE, NEIGHBOURS = 64, 0.95, 5
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = vectors.similar_pairs(table(spark, d, "cell_table"), "cell_id", "x_vec", dim=VECTOR_DIM, k=NEIGHBOURS, threshold=MIN_COSINE)
+    return pairs.select(F.col("a").alias("cell_id_a"), F.col("b").alias("cell_id_b"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}
