@@ -21,80 +21,112 @@ FIT_ROWS = 50_000
 #: Common words are compared as a hash set within the expression, so their number is bounded.
 MOST_COMMON_WORDS = 5_000
 OTHER = "prose"
-
-
-def statistics(text: Column, common_words: list[str]) -> dict[str, Column]:
-    """Expressions of all statistics of a text by name; every one is 0 for a null or blank text."""
-    if len(common_words) > MOST_COMMON_WORDS:
-        raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    chars = F.length(F.regexp_replace(t, r"\s+", ""))
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    size_of = lambda p: F.length(F.regexp_replace(t, p, ""))
-    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    n_words = F.size(words)
-    terms = F.filter(F.split(F.lower(t), r"[^\p{L}\p{M}’']+"), lambda w: w != "")
-    n_terms = F.size(terms)
-    common = F.size(F.filter(terms, lambda w: w.isin(*common_words))) if common_words else F.lit(0)
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    n_lines = F.size(lines)
-    line_chars = F.aggregate(lines, F.lit(0), lambda a, s: a + F.length(s))
-    chars_where = lambda test: F.aggregate(F.filter(lines, test), F.lit(0), lambda a, s: a + F.length(s))
-    ends = lambda s: s.rlike(r"[.!?。！？…][\"'”’»)\]]*$")
-    bullet = lambda s: s.rlike(r"^(?:[-*•·+–]|\[[ xX]?\]|\(?[0-9]{1,3}[.)\]]|\(?[a-zA-Z][.)])\s+\S")
-    short = lambda s: (F.regexp_count(s, F.lit(r"\S+")) <= 7) & ~ends(s)
-    cells = lambda s: s.rlike(
-        r"^[^\t]*\t[^\t]*\t|^[^|]*\|[^|]*\||^[^;]*(?:;\S[^;]*){3}|</td>.*</td>|^[^,]*(?:,\S[^,]*){3}|^\S+(?: \S+){0,5} {2,}\S+(?: \S+){0,5} {2,}\S"
+#: Statistics that are reported but give no rules, since the kind does not follow from the size.
+SIZES = ("n_chars", "n_lines")
+
+
+CJK = "぀-ヿ一-鿿"
+STOPS = ".!?。！？…"
+CLOSERS = "\"'”’»)\\]"
+#: A token that is no word of any language: hex pairs, long encoded runs, stretched characters, symbols
+#: only, letters without a vowel, and marks of text decoded by a wrong character set.
+NOISE = (
+    r"^[0-9][a-f]$|^[a-f][0-9]$|^[A-Za-z0-9+/]{30,}={0,2}$|(\S)\1{3}|^[^\p{L}\p{N}]{5,}$"
+    r"|^[^\p{L}\p{N}]*[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{4,}[^\p{L}\p{N}]*$|[ÃÂÐ�€¤¶]|ï»¿|[Ÿœ]"
+)
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
+def _line_facts(s: Column) -> Column:
+    words = F.regexp_count(s, F.lit(r"\S+"))
+    ends = s.rlike(f"[{STOPS}][{CLOSERS}]*$")
+    wide = F.regexp_count(s, F.lit(r" {3,}(?=\S)")) >= 2
+    among = lambda c: F.length(s) - F.length(F.translate(s, c, ""))
+    tight = lambda c: F.regexp_count(s, F.lit(rf"{c}(?=\S)")) >= 3
+    cells = (among("\t") >= 2) | (among("|") >= 2) | tight(";") | tight(",") | wide | (F.regexp_count(s, F.lit("</t[dh]>")) >= 2)
+    return F.struct(
+        F.length(s).alias("chars"),
+        ends.alias("ends"),
+        s.rlike(r"^(?:[-*•·+–]|\[[ xX]?\]|\(?[0-9]{1,3}[.)\]]|\(?[a-zA-Z][.)])\s+\S").alias("bullet"),
+        ((words <= 7) & ~ends).alias("short"),
+        (words <= 3).alias("tiny"),
+        cells.alias("cells"),
     )
-    numeric = F.regexp_count(t, F.lit(r"(?<![\p{L}\p{N}])[\p{L}]{0,3}-?[0-9][0-9.,%]*(?![\p{L}\p{N}])"))
-    pieces = F.regexp_count(t, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}.’'-]*"))
-    letters = count(r"\p{L}")
-    cjk = count(r"[぀-ヿ一-鿿]")
-    return {
-        "n_chars": F.length(t).cast("double"),
-        "n_words": n_words.cast("double"),
-        "mean_word_length": ratio(chars, n_words),
-        "symbol_ratio": ratio(count(r"[^\p{L}\p{N}\s]"), chars),
-        "digit_ratio": ratio(count(r"\p{N}"), chars),
-        "upper_ratio": ratio(count(r"\p{Lu}"), letters),
-        "consonant_ratio": ratio(count("[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]"), letters),
-        "cjk_ratio": ratio(cjk, chars),
-        "n_lines": n_lines.cast("double"),
-        "mean_line_words": ratio(n_words, n_lines),
-        "line_end_share": ratio(F.size(F.filter(lines, ends)), n_lines),
-        "line_end_chars": ratio(chars_where(ends), line_chars),
-        "bullet_share": ratio(F.size(F.filter(lines, bullet)), n_lines),
-        "bullet_chars": ratio(chars_where(bullet), line_chars),
-        "short_line_share": ratio(F.size(F.filter(lines, short)), n_lines),
-        "short_line_chars": ratio(chars_where(short), line_chars),
-        "cell_line_share": ratio(F.size(F.filter(lines, cells)), n_lines),
-        "cell_line_chars": ratio(chars_where(cells), line_chars),
-        "distinct_line_share": ratio(F.size(F.array_distinct(lines)), n_lines),
-        "number_share": ratio(numeric, pieces),
-        "common_share": ratio(common, n_terms),
-        "distinct_terms": F.size(F.array_distinct(terms)).cast("double"),
-        "distinct_share": ratio(F.size(F.array_distinct(terms)), n_terms),
-        "stop_rate": ratio(count(r"[.!?。！？…](?=\s|[\"'”’»)\]]|$)"), n_words + F.floor(cjk / 2)),
-        "comma_rate": ratio(count(r"[,;:、，]"), n_words + F.floor(cjk / 2)),
-        "run_ratio": F.lit(1.0) - ratio(size_of(r"(\S)\1{3,}"), F.greatest(F.length(t), F.lit(1))),
-        "long_run_ratio": F.lit(1.0) - ratio(size_of(r"[A-Za-z0-9+/]{30,}"), F.greatest(F.length(t), F.lit(1))),
-        "hex_share": ratio(count(r"(?<!\S)[0-9a-f]{2}(?!\S)"), n_words),
-        "odd_ratio": ratio(count("[ÃÂÐ�§€™¤¶ï»¿©¨Ÿœ]"), chars),
-    }
 
 
 def document_statistics(docs: DataFrame, key: str, text: str, common_words: list[str]) -> DataFrame:
     """``key`` and one double column per statistic, a row per row of the input.
 
-    Defined cases: null, empty and blank texts have 0 in every statistic (``run_ratio`` and
-    ``long_run_ratio`` too); texts of any length are counted whole; ratios with an empty
-    denominator are 0; other columns are ignored, so clashing names do no harm.
+    The text is cut to tokens, terms and lines once, in projections of their own, so that no
+    statistic repeats that work. CJK characters count as a term each.
+
+    Defined cases: null, empty and blank texts have 0 in every statistic; texts of any length
+    are counted whole; ratios with an empty denominator are 0; other columns are ignored, so
+    clashing names do no harm.
     """
-    src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    blank = F.coalesce(~F.col("_text").rlike(r"\S"), F.lit(True))
-    stats = statistics(F.col("_text"), common_words)
+    if len(common_words) > MOST_COMMON_WORDS:
+        raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
+    src = docs.select(F.col(key).alias("_key"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n").alias("_t"))
+    filled = lambda a: F.filter(a, lambda w: w != "")
+    src = src.select(
+        "_key",
+        "_t",
+        filled(F.split("_t", r"\s+")).alias("_tokens"),
+        filled(F.split(F.lower("_t"), rf"[^\p{{L}}\p{{M}}’']+|(?<=[{CJK}])")).alias("_terms"),
+        filled(F.transform(F.split("_t", "\n"), lambda s: F.btrim(s, F.lit(" \t\f\x0b\u00a0\u3000")))).alias("_lines"),
+    )
+    src = src.withColumns(
+        {
+            "_facts": F.transform("_lines", _line_facts),
+            "_common": F.transform("_terms", lambda w: w.isin(*common_words)) if common_words else F.transform("_terms", lambda w: F.lit(False)),
+            "_noise": F.aggregate(F.filter("_tokens", lambda w: w.rlike(NOISE)), F.lit(0), lambda a, w: a + F.length(w)),
+            "_chars": F.aggregate("_tokens", F.lit(0), lambda a, w: a + F.length(w)),
+            "_distinct": F.size(F.array_distinct("_terms")),
+        }
+    )
+    t, facts = F.col("_t"), F.col("_facts")
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    chars, n_words, n_terms, n_lines = F.col("_chars"), F.size("_tokens"), F.size("_terms"), F.size("_lines")
+    line_chars = F.aggregate(facts, F.lit(0), lambda a, f: a + f["chars"])
+    share = lambda name: _ratio(F.size(F.filter(facts, lambda f: f[name])), n_lines)
+    chars_of = lambda name: _ratio(F.aggregate(F.filter(facts, lambda f: f[name]), F.lit(0), lambda a, f: a + f["chars"]), line_chars)
+    letters = count(r"\p{L}")
+    pairs = F.size(F.filter(F.zip_with(F.slice("_common", 1, F.greatest(n_terms - 1, F.lit(0))), F.slice("_common", 2, F.greatest(n_terms, F.lit(1))), lambda a, b: a & b), lambda x: x))
+    stats = {
+        "n_chars": F.length(t),
+        "n_words": n_words,
+        "n_lines": n_lines,
+        "mean_word_length": _ratio(chars, n_words),
+        "mean_line_words": _ratio(n_words, n_lines),
+        "symbol_ratio": _ratio(count(r"[^\p{L}\p{N}\s]"), chars),
+        "digit_ratio": _ratio(count(r"\p{N}"), chars),
+        "upper_ratio": _ratio(count(r"\p{Lu}"), letters),
+        "letter_ratio": _ratio(letters, chars),
+        "cjk_ratio": _ratio(count(f"[{CJK}]"), chars),
+        "noise_share": _ratio(F.col("_noise"), chars),
+        "line_end_share": share("ends"),
+        "line_end_chars": chars_of("ends"),
+        "bullet_share": share("bullet"),
+        "bullet_chars": chars_of("bullet"),
+        "short_line_share": share("short"),
+        "short_line_chars": chars_of("short"),
+        "tiny_line_share": share("tiny"),
+        "cell_line_share": share("cells"),
+        "cell_line_chars": chars_of("cells"),
+        "distinct_line_share": _ratio(F.size(F.array_distinct("_lines")), n_lines),
+        "number_share": _ratio(count(r"(?<![\p{L}\p{N}])[0-9][0-9.,%]*(?![\p{L}\p{N}])"), n_words),
+        "common_share": _ratio(F.size(F.filter("_common", lambda x: x)), n_terms),
+        "common_pair_share": _ratio(pairs, n_terms),
+        "distinct_terms": F.col("_distinct"),
+        "distinct_share": _ratio(F.col("_distinct"), n_terms),
+        "stop_rate": _ratio(count(rf"[{STOPS}](?=[\s<\[{CLOSERS}]|$)"), n_terms),
+        "inner_stop_rate": _ratio(count(rf"\p{{L}}[\p{{L}}\p{{N}}]+[{STOPS}][{CLOSERS}]*(?:[ \u00a0]+\S|(?<=[。！？])[{CJK}])"), n_lines),
+        "comma_rate": _ratio(count(r"[,;:、，]"), n_terms),
+    }
+    blank = ~t.rlike(r"\S")
     return src.select(F.col("_key").alias(key), *[F.when(blank, F.lit(0.0)).otherwise(c.cast("double")).alias(n) for n, c in stats.items()])
 
 
@@ -146,7 +178,20 @@ def _best_condition(x: np.ndarray, pos: np.ndarray, names: list[str]) -> tuple[f
     return best
 
 
-def induce_rules(x: np.ndarray, labels: np.ndarray, names: list[str], *, other: str = OTHER, seed: int = 11, longest: int = 6) -> list[Rule]:
+def induce_rules(x: np.ndarray, labels: np.ndarray, names: list[str], *, other: str = OTHER, splits: int = 12, longest: int = 6) -> list[Rule]:
+    """The best of several rule lists: fewest wrong labels, where each condition weighs as one.
+
+    The lists differ in the split of rows into those that grow and those that prune rules.
+    """
+
+    def cost(rules: list[Rule]) -> float:
+        wrong = (apply_rules(x, rules, names, other) != labels).sum()
+        return float(wrong) + sum(len(r.conditions) for r in rules)
+
+    return min((_induce_once(x, labels, names, other, seed, longest) for seed in range(splits)), key=cost, default=[])
+
+
+def _induce_once(x: np.ndarray, labels: np.ndarray, names: list[str], other: str, seed: int, longest: int) -> list[Rule]:
     """An ordered rule list for all kinds but ``other``, rarest kind first.
 
     Deterministic for given rows. Kinds without any labelled document get no rule; with too few
@@ -232,7 +277,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
         voted = voted.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(fit_rows / total * 1_000_000))
     usable = docs.where(F.col(text).rlike(r"\S")).select(key, text).join(voted.hint("shuffle_hash") if total > 1_000_000 else voted, key)
     stats = document_statistics(usable, key, text, common_words).join(voted, key).orderBy(key).toPandas()
-    names = [c for c in stats.columns if c not in (key, "label")]
+    names = [c for c in stats.columns if c not in (key, "label", *SIZES)]
     return induce_rules(stats[names].to_numpy(float), stats["label"].to_numpy(object).astype(str), names)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histolith.llm import bpe, sketches, terms, vectors
+from histolith.llm import bpe, clusters, packing, quality, sketches, terms, vectors
 from histolith.operators.latest import clean_name, latest_rows
 from histolith.session import materialize, table
 
@@ -74,4 +74,48 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}
+CONTAINER_TOKENS = 2048
+
+
+def cell_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "cell_table").where(F.col("cell_id").isNotNull()).groupBy("cell_id").agg(F.max("leiden").alias("leiden"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    groups = materialize(clusters.similarity_groups(table(spark, d, "cell_table"), "cell_id", "x_vec", dim=VECTOR_DIM), "groups")
+    return clusters.label_conflicts(groups, cell_labels(spark, d), "cell_id", "leiden").withColumnRenamed("group_label", "cluster_label")
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical cells of each group."""
+    groups = materialize(clusters.similarity_groups(table(spark, d, "cell_table"), "cell_id", "x_vec", dim=VECTOR_DIM), "groups")
+    return clusters.describe_groups(groups, "cell_id")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every post, or of each part of a divided post."""
+    sizes = bpe.count_tokens(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER_TOKENS)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_containers(spark, d).where(F.col("part") == 1).select("doc_id").distinct()
+
+
+def common_words(spark: SparkSession, d: str) -> list[str]:
+    """The function words, a small fixed table; more than the bound is an error further on."""
+    rows = table(spark, d, "common_words").select("word").where(F.col("word").isNotNull()).distinct().limit(quality.MOST_COMMON_WORDS + 1).collect()
+    return sorted(r["word"].lower() for r in rows)
+
+
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_statistics(table(spark, d, "documents"), "doc_id", "text", common_words(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    words, docs = common_words(spark, d), table(spark, d, "documents")
+    rules = quality.fit_rules(docs, table(spark, d, "doc_labels"), "doc_id", "text", "label", words)
+    return quality.classify(docs, "doc_id", "text", rules, words).where(F.col("kind") != quality.OTHER)
+
+
+QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_stats": p9_stats, "p2_found": p2_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}
