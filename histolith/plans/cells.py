@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histolith.operators import tabular as T
@@ -463,14 +463,23 @@ def agg29_pixels_to_cell_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select cell_id, round(avg(v), 9) as mean, round(coalesce(avg(v) filter (v <> 0), 0), 9) as mean_nonzero, round(coalesce(avg(v) filter (v > 0.2), 0), 9) as mean_informative
-    from (select cell_id, qv / 40.0 as v from tx where cell_id <> -1) group by cell_id""",
+    """select cell_id, sum(c) / (4000.0 * count(c))::double as mean, coalesce(sum(c) filter (c <> 0) / (4000.0 * count(c) filter (c <> 0))::double, 0) as mean_nonzero,
+    coalesce(sum(c) filter (c > 800) / (4000.0 * count(c) filter (c > 800))::double, 0) as mean_informative
+    from (select cell_id, round(qv * 100)::bigint as c from tx where cell_id <> -1) group by cell_id""",
     (TX,),
 )
 def agg30_pixels_to_cell_means(spark: SparkSession, d: str) -> DataFrame:
-    v = B.transcripts(spark, d).where(F.col("cell_id") != -1).select("cell_id", (F.col("qv") / 40.0).alias("v"))
-    mean = lambda c: r6(F.coalesce(F.avg(F.when(c, F.col("v"))), F.lit(0.0)), 9)
-    return v.groupBy("cell_id").agg(r6(F.avg("v"), 9).alias("mean"), mean(F.col("v") != 0).alias("mean_nonzero"), mean(F.col("v") > 0.2).alias("mean_informative"))
+    """Mean, mean of non-zero and mean of values above 0.2 of qv / 40; sums are of whole hundredths and thus exact."""
+    v = B.transcripts(spark, d).where(F.col("cell_id") != -1).select("cell_id", F.round(F.col("qv") * 100).cast("long").alias("c"))
+
+    def mean(test) -> Column:
+        kept = F.when(test, F.col("c"))
+        return T.share(F.sum(kept), F.count(kept) * 4000.0)
+
+    zero = F.lit(0.0)
+    return v.groupBy("cell_id").agg(
+        mean(F.col("c").isNotNull()).alias("mean"), F.coalesce(mean(F.col("c") != 0), zero).alias("mean_nonzero"), F.coalesce(mean(F.col("c") > 800), zero).alias("mean_informative")
+    )
 
 
 MASKS = "masks as (select cell_id, case when transcript_counts > 40 then 1 else 0 end as m1, case when cell_area > 80 then 1 else 0 end as m2, case when nucleus_area > 30 then 1 else 0 end as m3 from cells)"
