@@ -314,36 +314,53 @@ def rasterise(rings: DataFrame, keys: list[str], ring: str = "ring") -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held, size = [], 0
-            for row in pdf.itertuples(index=False):
-                vx = np.array([p["x"] for p in row[-1]], float)
-                vy = np.array([p["y"] for p in row[-1]], float)
-                for xs, ys in scan(vx, vy):
-                    held.append(pd.DataFrame({**{k: v for k, v in zip(keys, row)}, "px": xs, "py": ys}))
-                    size += len(xs)
-                    if size > 500_000:
-                        yield pd.concat(held)
-                        held, size = [], 0
-            if held:
-                yield pd.concat(held)
+            rows, times, xs, ys, size = [], [], [], [], 0
+
+            def flush() -> pd.DataFrame:
+                at = np.repeat(rows, times)
+                out = {k: pdf[k].to_numpy()[at] for k in keys}
+                return pd.DataFrame(out | {"px": np.concatenate(xs), "py": np.concatenate(ys)})
+
+            for i, ring_ in enumerate(pdf["_ring"]):
+                v = np.array([(p["x"], p["y"]) for p in ring_], float)
+                for px, py in scan(v[:, 0], v[:, 1]):
+                    rows.append(i)
+                    times.append(len(px))
+                    xs.append(px)
+                    ys.append(py)
+                    size += len(px)
+                if size > 500_000:
+                    yield flush()
+                    rows, times, xs, ys, size = [], [], [], [], 0
+            if size:
+                yield flush()
 
     usable = rings.where((F.size(ring) >= 3)).select(*keys, F.col(ring).alias("_ring"))
     return usable.mapInPandas(run, f"{kinds}, px int, py int")
 
 
-def scan(vx: np.ndarray, vy: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pixels of one ring by rows: centre (px + 0.5, py + 0.5) inside."""
+def scan(vx: np.ndarray, vy: np.ndarray, slab: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pixels of one ring, in slabs of rows: centre (px + 0.5, py + 0.5) inside."""
     wx, wy = np.roll(vx, -1), np.roll(vy, -1)
-    for py in range(int(np.floor(vy.min())), int(np.floor(vy.max())) + 1):
-        y = py + 0.5
+    for first in range(int(np.floor(vy.min())), int(np.floor(vy.max())) + 1, slab):
+        rows = np.arange(first, min(first + slab, int(np.floor(vy.max())) + 1))
+        y = rows[:, None] + 0.5
         cross = (vy > y) != (wy > y)
         if not cross.any():
             continue
-        xs = np.sort(vx[cross] + (y - vy[cross]) / (wy[cross] - vy[cross]) * (wx[cross] - vx[cross]))
-        spans = [np.arange(int(np.ceil(a - 0.5)), int(np.ceil(b - 0.5))) for a, b in zip(xs[::2], xs[1::2])]
-        line = np.concatenate(spans) if spans else np.zeros(0, int)
-        if len(line):
-            yield line.astype(np.int32), np.full(len(line), py, np.int32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = np.where(cross, vx + (y - vy) / (wy - vy) * (wx - vx), np.inf)
+        at = np.ceil(np.sort(at, axis=1) - 0.5)
+        left, right = at[:, 0::2], at[:, 1::2]
+        left = left[:, : right.shape[1]]
+        paired = np.isfinite(right)
+        span = (np.where(paired, right, 0) - np.where(paired, left, 0)).astype(np.int64)
+        n = int(span.sum())
+        if n:
+            starts = np.repeat(np.where(np.isfinite(left), left, 0).astype(np.int64).ravel(), span.ravel())
+            offset = np.arange(n) - np.repeat(np.cumsum(span.ravel()) - span.ravel(), span.ravel())
+            line = np.repeat(np.broadcast_to(rows[:, None], span.shape).ravel(), span.ravel())
+            yield (starts + offset).astype(np.int32), line.astype(np.int32)
 
 
 def rasterised_mean(rings: DataFrame, value: str) -> DataFrame:

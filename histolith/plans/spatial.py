@@ -10,7 +10,7 @@ from histolith.operators import graphs
 from histolith.operators import tabular as T
 from histolith.operators.proximity import points_in_rings, points_within
 from histolith.plans.sql import CELLS, EDGES, EXPR, RINGS, TX, with_
-from histolith.session import table
+from histolith.session import spread, table
 from histolith.sources import bundle as B
 
 QUERIES: dict = {}
@@ -168,7 +168,7 @@ def img17_rasterised_mean(spark: SparkSession, d: str) -> DataFrame:
     from histolith.operators import raster
 
     r = B.rings(spark, d).join(B.cells(spark, d).select("cell_id", F.col("transcript_counts").cast("double").alias("v")), "cell_id")
-    pixels = raster.rasterise(r, ["cell_id", "v"])
+    pixels = raster.rasterise(spread(r), ["cell_id", "v"])
     return pixels.groupBy("px", "py").agg(r6(F.avg("v")).alias("mean"), F.count(F.lit(1)).alias("rings"))
 
 
@@ -176,7 +176,7 @@ def img17_rasterised_mean(spark: SparkSession, d: str) -> DataFrame:
 def img18_rasterised_owner(spark: SparkSession, d: str) -> DataFrame:
     from histolith.operators import raster
 
-    return raster.rasterised_owner(B.rings(spark, d), "cell_id")
+    return raster.rasterised_owner(spread(B.rings(spark, d)), "cell_id")
 
 
 @query()

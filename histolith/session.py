@@ -72,3 +72,12 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Cut a frame of fewer partitions than the cluster has cores to as many, for work that outweighs a shuffle of the input.
+
+    A large input has more partitions than cores already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
