@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histolith.session import map_arrow
+from histolith.session import map_arrow, spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Name of the installed module that knows where the vocabulary files are and how texts are cut.
@@ -270,7 +270,7 @@ def _encode(docs: DataFrame, key: str, text: str, vocabulary: str, counts_only:
             yield from out
 
     value = "bigint" if counts_only else "array<int>"
-    return map_arrow(docs.select(key, text), run, f"`{key}` {kind}, value {value}")
+    return map_arrow(spread(docs.select(key, text)), run, f"`{key}` {kind}, value {value}")
 
 
 def encode_documents(docs: DataFrame, key: str, text: str, *, vocabulary: str = VOCABULARY) -> DataFrame:

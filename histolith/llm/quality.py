@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histolith.session import spread
+
 #: Labelled documents the rules are fitted on, at most; more are thinned by the hash of the id.
 FIT_ROWS = 50_000
 #: Common words are compared as a hash set within the expression, so their number is bounded.
@@ -41,7 +43,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def _line_facts(s: Column) -> Column:
-    words = F.regexp_count(s, F.lit(r"\S+"))
+    words = F.size(F.split(s, r"\s+"))
     ends = s.rlike(f"[{STOPS}][{CLOSERS}]*$")
     wide = F.regexp_count(s, F.lit(r" {3,}(?=\S)")) >= 2
     among = lambda c: F.length(s) - F.length(F.translate(s, c, ""))
@@ -93,7 +95,9 @@ def document_statistics(docs: DataFrame, key: str, text: str, common_words: list
     line_chars = F.aggregate(facts, F.lit(0), lambda a, f: a + f["chars"])
     share = lambda name: _ratio(F.size(F.filter(facts, lambda f: f[name])), n_lines)
     chars_of = lambda name: _ratio(F.aggregate(F.filter(facts, lambda f: f[name]), F.lit(0), lambda a, f: a + f["chars"]), line_chars)
-    letters = count(r"\p{L}")
+    # Runs are deleted and the rest measured: counting matches would build a string for each of them.
+    kept = lambda p: F.length(F.regexp_replace(t, p, ""))
+    letters = kept(r"[^\p{L}]+")
     pairs = F.size(F.filter(F.zip_with(F.slice("_common", 1, F.greatest(n_terms - 1, F.lit(0))), F.slice("_common", 2, F.greatest(n_terms, F.lit(1))), lambda a, b: a & b), lambda x: x))
     stats = {
         "n_chars": F.length(t),
@@ -101,11 +105,11 @@ def document_statistics(docs: DataFrame, key: str, text: str, common_words: list
         "n_lines": n_lines,
         "mean_word_length": _ratio(chars, n_words),
         "mean_line_words": _ratio(n_words, n_lines),
-        "symbol_ratio": _ratio(count(r"[^\p{L}\p{N}\s]"), chars),
-        "digit_ratio": _ratio(count(r"\p{N}"), chars),
-        "upper_ratio": _ratio(count(r"\p{Lu}"), letters),
+        "symbol_ratio": _ratio(kept(r"[\p{L}\p{N}\s]+"), chars),
+        "digit_ratio": _ratio(kept(r"[^\p{N}]+"), chars),
+        "upper_ratio": _ratio(kept(r"[^\p{Lu}]+"), letters),
         "letter_ratio": _ratio(letters, chars),
-        "cjk_ratio": _ratio(count(f"[{CJK}]"), chars),
+        "cjk_ratio": _ratio(kept(f"[^{CJK}]+"), chars),
         "noise_share": _ratio(F.col("_noise"), chars),
         "line_end_share": share("ends"),
         "line_end_chars": chars_of("ends"),
@@ -276,12 +280,17 @@ def fit_rules(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
     if total > fit_rows:
         voted = voted.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(fit_rows / total * 1_000_000))
     usable = docs.where(F.col(text).rlike(r"\S")).select(key, text).join(voted.hint("shuffle_hash") if total > 1_000_000 else voted, key)
-    stats = document_statistics(usable, key, text, common_words).join(voted, key).orderBy(key).toPandas()
+    stats = document_statistics(spread(usable), key, text, common_words).join(voted, key).orderBy(key).toPandas()
     names = [c for c in stats.columns if c not in (key, "label", *SIZES)]
     return induce_rules(stats[names].to_numpy(float), stats["label"].to_numpy(object).astype(str), names)
 
 
-def classify(docs: DataFrame, key: str, text: str, rules: list[Rule], common_words: list[str], *, ignored: tuple[str, ...] = ("[deleted]",)) -> DataFrame:
-    """``key``, ``kind`` of every document with a text; null, blank and ``ignored`` texts have no row."""
+def classify(
+    docs: DataFrame, key: str, text: str, rules: list[Rule], common_words: list[str], *, ignored: tuple[str, ...] = ("[deleted]",), without: str | None = None
+) -> DataFrame:
+    """``key``, ``kind`` of every document with a text; null, blank and ``ignored`` texts have no row, nor has the kind ``without``."""
     usable = docs.where(F.col(text).rlike(r"\S") & ~F.trim(F.col(text)).isin(*ignored))
-    return document_statistics(usable, key, text, common_words).select(key, rule_case(rules).alias("kind"))
+    stats = document_statistics(spread(usable.select(key, text)), key, text, common_words)
+    # A filter on the kind would be pushed down to the texts and repeat all statistics there; an explode is not.
+    kept = F.filter(F.array(rule_case(rules)), lambda k: k != without) if without is not None else F.array(rule_case(rules))
+    return stats.select(key, F.explode(kept).alias("kind"))

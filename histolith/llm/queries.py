@@ -115,7 +115,7 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     words, docs = common_words(spark, d), table(spark, d, "documents")
     rules = quality.fit_rules(docs, table(spark, d, "doc_labels"), "doc_id", "text", "label", words)
-    return quality.classify(docs, "doc_id", "text", rules, words).where(F.col("kind") != quality.OTHER)
+    return quality.classify(docs, "doc_id", "text", rules, words, without=quality.OTHER)
 
 
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_stats": p9_stats, "p2_found": p2_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}
