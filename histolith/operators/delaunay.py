@@ -98,7 +98,7 @@ def delaunay(cells: DataFrame, *, key: str = "cell_id", halo: float = 100.0, til
         at = {k: i for i, k in enumerate(ids)}
         rings = [[{"x": float(pts[at[k]][0]), "y": float(pts[at[k]][1])} for k in row] for row in names]
         length = [max(float(np.hypot(*(pts[at[r[i]]] - pts[at[r[j]]]))) for i, j in ((0, 1), (1, 2), (0, 2))) for r in names]
-        return pd.DataFrame({"a": names[:, 0], "b": names[:, 1], "c": names[:, 2], "ring": rings, "longest": length})
+        return pd.DataFrame({"a": names[:, 0], "b": names[:, 1], "c": names[:, 2], "ring": pd.Series(rings, dtype=object), "longest": pd.Series(length, dtype=float)})
 
     schema = f"a {kind}, b {kind}, c {kind}, ring array<struct<x:double,y:double>>, longest double"
     return spread.groupBy("_ti", "_tj").applyInPandas(run, schema)
