@@ -10,6 +10,8 @@ a group of a third of all rows arrives at its reducer as a few kilobytes per tas
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +88,9 @@ def percentile_tests(
     cases = []
     for i, (m, share, sign, bound) in enumerate(tests):
         n = F.col(f"{m}_n")
-        rank = F.when(n > 0, F.kll_sketch_get_rank_double(F.col(f"{m}_sketch"), F.lit(float(bound))))
+        # The sketch ranks inclusively: values equal to the bound are not below it, but they are not above it either.
+        at = math.nextafter(bound, -math.inf) if sign == "<" else float(bound)
+        rank = F.when(n > 0, F.kll_sketch_get_rank_double(F.col(f"{m}_sketch"), F.lit(at)))
         margin = F.lit(DOUBT * rank_error(k)) + F.lit(2.0) / F.greatest(n, F.lit(1))
         below = rank > share + margin  # enough values are below the bound
         above = rank < share - margin
