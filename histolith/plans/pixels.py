@@ -210,3 +210,24 @@ def img14_dilation(spark: SparkSession, d: str) -> DataFrame:
     n, ex = counts(spark, d)
     mask = n.where(F.col("n") >= 3).select("px", "py", F.lit(1).alias("m"))
     return R.window_map(mask, "m", ex, R.dilate(2), ["mask"], radius=2).where(F.col("mask") > 0).select("px", "py")
+
+
+@query(
+    "select g.px, g.py, round(coalesce(s, 0), 6) as density from g left join (select px + dx as px, py + dy as py, sum(n * wt) as s from c, k group by 1, 2) using (px, py)",
+    (TX, COARSE_COUNTS, EXTENT, GRID, offsets(5, False), GAUSS),
+)
+def agg38_density_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """Two-dimensional histogram of the molecules, smoothed by a Gaussian."""
+    n, ex = coarse(spark, d)
+    return R.stencil(n, "n", ex, R.gaussian(1.0, 5), target="s").select("px", "py", F.round("s", 6).alias("density"))
+
+
+@query(
+    "select g.px, g.py, coalesce(s, 0)::bigint as box_sum from g left join (select px + dx as px, py + dy as py, sum(n) as s from c, o group by 1, 2) using (px, py)",
+    (TX, COARSE_COUNTS, EXTENT, GRID, offsets(2, False)),
+)
+def agg39_box_sum(spark: SparkSession, d: str) -> DataFrame:
+    """Molecules in the square window around every pixel."""
+    n, ex = coarse(spark, d)
+    box = {(i, j): 1.0 for i in range(-2, 3) for j in range(-2, 3)}
+    return R.stencil(n, "n", ex, box, target="s").select("px", "py", F.col("s").cast("long").alias("box_sum"))

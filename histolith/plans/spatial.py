@@ -267,3 +267,36 @@ def agg37_marker_in_radius(spark: SparkSession, d: str) -> DataFrame:
 def agg24_members_per_cell(spark: SparkSession, d: str) -> DataFrame:
     hits = points_in_rings(table(spark, d, "doublet_df"), B.rings(spark, d), point_key="doublet_id", ring_key="cell_id")
     return hits.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 1).alias("multi"))
+
+
+@query(
+    """select c.cell_id, coalesce(round(avg(v), 6), 0) as mean_convexity, coalesce(round(min(v), 6), 0) as min_convexity from cells c left join (select cell_id, greatest(count(*) filter (turn > 0), count(*) filter (turn < 0)) / (m + 1)::double as v from (
+    select cell_id, m, (bx - ax) * (cy - by_) - (by_ - ay) * (cx - bx) as turn from (select cell_id, m, i, r[i].x as ax, r[i].y as ay, r[i % (m + 1) + 1].x as bx, r[i % (m + 1) + 1].y as by_, r[(i + 1) % (m + 1) + 1].x as cx, r[(i + 1) % (m + 1) + 1].y as cy
+    from (select cell_id, len(o) as m, o || [o[1]] as r, unnest(range(1, len(o) + 2)) as i from (select cell_id, case when ring[1] = ring[len(ring)] then ring[1:len(ring) - 1] else ring end as o from rings)))) where m >= 3 group by cell_id, m) q using (cell_id) group by 1""",
+    (CELLS, RINGS),
+)
+def agg25_convexity_per_cell(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and least convexity of the rings of each cell, 0 without a ring."""
+    v = B.rings(spark, d).select("cell_id", G.convexity(F.col("ring")).alias("v")).groupBy("cell_id").agg(F.avg("v").alias("m"), F.min("v").alias("l"))
+    out = B.cells(spark, d).select("cell_id").join(v, "cell_id", "left")
+    return out.select("cell_id", F.coalesce(r6("m"), F.lit(0.0)).alias("mean_convexity"), F.coalesce(r6("l"), F.lit(0.0)).alias("min_convexity"))
+
+
+@query()
+def join12_molecules_in_triangles(spark: SparkSession, d: str) -> DataFrame:
+    """Molecules outside of cells and the triangle between cells that holds them."""
+    from histolith.operators import delaunay
+
+    t = delaunay.delaunay(B.cells(spark, d)).withColumn("tid", F.concat_ws("-", "a", "b", "c"))
+    outside = B.transcripts(spark, d).where(F.col("cell_id") == B.NO_CELL)
+    return points_in_rings(outside, t, point_key="transcript_id", ring_key="tid")
+
+
+@query()
+def join16_triangles_at_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles each cell is a corner of, and their longest edge."""
+    from histolith.operators import delaunay
+
+    t = delaunay.delaunay(B.cells(spark, d))
+    corners = t.select(F.explode(F.array("a", "b", "c")).alias("cell_id"), "longest").groupBy("cell_id").agg(F.count(F.lit(1)).alias("triangles"), F.max("longest").alias("longest"))
+    return B.cells(spark, d).select("cell_id").join(corners, "cell_id", "left").fillna(0, ["triangles"])
