@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from histolith.llm import clusters as C
@@ -41,6 +42,33 @@ def test_groups_are_found(spark):
     assert described[0][1] == 5 and sum(n for n, _ in described.values()) == len(got)
 
 
+def purity(spark, groups, noise, dim):
+    """Groups found, and the share of planted records that have the group most of their own have."""
+    rng = np.random.default_rng(3)
+    rows, truth = [rng.normal(size=(noise, dim))], [-1] * noise
+    for g, n in enumerate(groups):
+        c = rng.normal(size=dim)
+        rows.append(0.72 * c / np.linalg.norm(c) + 0.69 * rng.normal(size=(n, dim)) / np.sqrt(dim))
+        truth += [g] * n
+    table = pa.table({"id": pa.array(np.arange(len(truth))), "v": pa.array([v.tolist() for v in np.vstack(rows)])})
+    got = {r.id: r.group for r in C.similarity_groups(spark.createDataFrame(table), "id", "v", dim=dim).collect()}
+    right = [0] * len(groups)
+    for g in range(len(groups)):
+        found = [got[i] for i, t in enumerate(truth) if t == g and i in got]
+        right[g] = max((found.count(x) for x in set(found)), default=0)
+    return len(set(got.values())), sum(right) / sum(groups), sum(truth[i] < 0 for i in got), min(right)
+
+
+def test_more_groups_than_components_of_the_mixture(spark):
+    n, share, extra, least = purity(spark, [30] * 90, 200, 96)
+    assert n == 90 and share >= 0.97 and extra <= 10 and least >= 20
+
+
+def test_groups_too_rare_for_the_sample(spark):
+    n, share, extra, least = purity(spark, [9_000, 6_000, 14, 14, 14], 5_000, 64)
+    assert n == 5 and share >= 0.97 and extra <= 50 and least >= 10
+
+
 def test_too_few_rows_for_groups(spark):
     df = spark.createDataFrame([(1, [1.0] * DIM), (2, [-1.0] * DIM)], "id long, v array<float>")
     assert C.similarity_groups(df, "id", "v", dim=DIM).count() == 0
