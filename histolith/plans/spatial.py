@@ -153,6 +153,22 @@ def geom05_snapped_rings(spark: SparkSession, d: str) -> DataFrame:
     return r.select("cell_id", F.col("i").cast("long").alias("i"), F.col("v.x").alias("px"), F.col("v.y").alias("py"))
 
 
+@query(
+    """select cell_id, i - 1 as i, trunc(ax)::int - x0 + 1 as px, trunc(ay)::int - y0 + 1 as py from edges, ext""",
+    (RINGS, EDGES, TX, """ext as (select min(px) as x0, min(py) as y0 from (select px, py from tx union all select trunc(ax)::int, trunc(ay)::int from edges))"""),
+)
+def geom05_section_rings(spark: SparkSession, d: str) -> DataFrame:
+    """All vertices as pixels of the whole section, whose first pixel is (1, 1); the extent is that of the molecules and the rings."""
+    from histolith.operators import raster
+
+    rings = B.rings(spark, d)
+    vertices = rings.select(F.explode("ring").alias("v")).select(F.col("v.x").cast("int").alias("px"), F.col("v.y").cast("int").alias("py"))
+    ex = raster.Extent.of(B.transcripts(spark, d).select("px", "py").unionByName(vertices)) or raster.Extent(0, 0, 0, 0)
+    # The window of snap_to_pixels begins at pixel 0, which is one before the section.
+    r = rings.select("cell_id", F.posexplode(G.snap_to_pixels(F.col("ring"), ex.x0, ex.y0, ex.width + 1, ex.height + 1)).alias("i", "v"))
+    return r.select("cell_id", F.col("i").cast("long").alias("i"), F.col("v.x").alias("px"), F.col("v.y").alias("py"))
+
+
 @query(
     """select px, py, round(avg(transcript_counts), 6) as mean, count(*) as rings from cov join cells using (cell_id) group by 1, 2""",
     (

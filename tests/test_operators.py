@@ -218,3 +218,13 @@ def test_histogram_edges(spark):
 def test_triangle_is_no_square():
     assert geometry.is_simple(np.array([(0, 0), (1, 0), (0, 1)], float))
     assert not geometry.is_simple(np.array([(0, 0), (1, 0)], float))
+
+
+def test_section_rings_keep_all_vertices(spark, data):
+    from histolith.plans.spatial import QUERIES
+    from histolith.sources import bundle
+
+    vertices = bundle.rings(spark, data).agg(F.sum(F.size("ring"))).first()[0]
+    got = QUERIES["geom05_section_rings"](spark, data)
+    low = got.agg(F.count(F.lit(1)), F.min("px"), F.min("py")).first()
+    assert low[0] == vertices and low[1] >= 1 and low[2] >= 1
