@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from histolith.sources import bundle as B
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-#: Molecules are binned to pixels of this many micrometres where a window of 25 pixels would be too much for the SQL.
+#: Molecules are binned to pixels of this many micrometres in queries whose SQL a window of 25 pixels would be too much for; the queries ..._pixels are not.
 COARSE = 4
 
 COUNTS = "c as (select px, py, count(*) as n from tx group by px, py)"
@@ -108,8 +111,8 @@ GAUSS = "k as (select dx, dy, exp(-0.5 * (dx * dx + dy * dy)) / (select pow(sum(
     "select w.px, w.py, round(log10(sum(wt * v * v) + 1), 6) as energy from w join k using (dx, dy) group by 1, 2",
     (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(5, False), reflected(True), GAUSS),
 )
-def img04_energy(spark: SparkSession, d: str) -> DataFrame:
-    n, ex = coarse(spark, d)
+def img04_energy(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+    n, ex = pixels(spark, d)
     return R.pixel_metric(n, "n", ex, "energy").select("px", "py", F.round("energy", 6).alias("energy"))
 
 
@@ -117,8 +120,8 @@ def img04_energy(spark: SparkSession, d: str) -> DataFrame:
     """select px, py, round(log10(sqrt(gx * gx + gy * gy) + 1), 6) as edge from (select px, py, sum(v * dx * (2 - abs(dy))) as gx, sum(v * dy * (2 - abs(dx))) as gy from w group by 1, 2)""",
     (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(1, False), reflected()),
 )
-def img05_edge_strength(spark: SparkSession, d: str) -> DataFrame:
-    n, ex = coarse(spark, d)
+def img05_edge_strength(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+    n, ex = pixels(spark, d)
     return R.pixel_metric(n, "n", ex, "edge").select("px", "py", F.round("edge", 6).alias("edge"))
 
 
@@ -128,11 +131,11 @@ t as (select gv as threshold from p order by coalesce(w0 * (w - w0) * pow(s0 / w
 
 
 @query("select px, py, case when b > threshold then 1 else 0 end as relevance from bl, t", (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected(), BLUR, OTSU))
-def img06_relevance(spark: SparkSession, d: str) -> DataFrame:
+def img06_relevance(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
     """Blurred counts above the Otsu threshold."""
     from histolith.session import materialize
 
-    n, ex = coarse(spark, d)
+    n, ex = pixels(spark, d)
     b = materialize(R.pixel_metric(n, "n", ex, "blur"), "blur")
     return T.one_row(b, R.otsu_threshold(b, "blur")).select("px", "py", (F.col("blur") > F.col("threshold")).cast("int").alias("relevance"))
 
@@ -141,8 +144,8 @@ def img06_relevance(spark: SparkSession, d: str) -> DataFrame:
     """select px, py, round(-sum(p * ln(p)), 6) + 0.0 as entropy, round(ln(25) + sum(p * ln(p)), 6) as uniformity from (select px, py, v, count(*) / 25.0::double as p from w group by 1, 2, 3) group by 1, 2""",
     (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected()),
 )
-def img07_entropy_uniformity(spark: SparkSession, d: str) -> DataFrame:
-    n, ex = coarse(spark, d)
+def img07_entropy_uniformity(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+    n, ex = pixels(spark, d)
     t = R.pixel_metric(n, "n", ex, "texture")
     return t.select("px", "py", (F.round("entropy", 6) + 0.0).alias("entropy"), F.round("uniformity", 6).alias("uniformity"))
 
@@ -151,14 +154,14 @@ def img07_entropy_uniformity(spark: SparkSession, d: str) -> DataFrame:
     """select w.px, w.py, round(avg(1.0 / (1 + abs(w.v - d.v))), 6) as homogeneity from w join d on d.px = w.px and d.py = w.py where not (dx = 0 and dy = 0) group by 1, 2""",
     (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected()),
 )
-def img08_homogeneity(spark: SparkSession, d: str) -> DataFrame:
-    n, ex = coarse(spark, d)
+def img08_homogeneity(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+    n, ex = pixels(spark, d)
     return R.pixel_metric(n, "n", ex, "texture").select("px", "py", F.round("homogeneity", 6).alias("homogeneity"))
 
 
 @query()
 def img10_local_binary_pattern(spark: SparkSession, d: str) -> DataFrame:
-    n, ex = coarse(spark, d)
+    n, ex = counts(spark, d)
     return R.pixel_metric(n, "n", ex, "lbp").withColumn("lbp", F.col("lbp").cast("int"))
 
 
@@ -170,8 +173,8 @@ def img10_local_binary_pattern(spark: SparkSession, d: str) -> DataFrame:
         select least(floor((v - lo) / (hi - lo)::double * 100), 99)::int as bin, lo, hi from d, (select min(v) as lo, max(v) as hi from d)) group by bin) order by n desc, bin limit 1)""",
     ),
 )
-def img11_intensity_snr(spark: SparkSession, d: str) -> DataFrame:
-    n, ex = coarse(spark, d)
+def img11_intensity_snr(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+    n, ex = pixels(spark, d)
     v = R.dense_grid(n, "n", ex)
     return T.one_row(v, T.mode_midpoint(v, "n")).select("px", "py", F.round(F.log2((F.col("n") + 1) / F.col("midpoint")), 6).alias("snr"))
 
@@ -185,10 +188,10 @@ def _spread(a: np.ndarray) -> dict[str, np.ndarray]:
     "select px, py, (max(v) - min(v))::double as spread from w group by 1, 2",
     (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(1, False), reflected()),
 )
-def img12_custom_window(spark: SparkSession, d: str) -> DataFrame:
+def img12_custom_window(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
     """A window function registered by the user."""
     R.register_window("spread", _spread, ["spread"], 1)
-    n, ex = coarse(spark, d)
+    n, ex = pixels(spark, d)
     return R.pixel_metric(n, "n", ex, "spread")
 
 
@@ -216,9 +219,9 @@ def img14_dilation(spark: SparkSession, d: str) -> DataFrame:
     "select g.px, g.py, round(coalesce(s, 0), 6) as density from g left join (select px + dx as px, py + dy as py, sum(n * wt) as s from c, k group by 1, 2) using (px, py)",
     (TX, COARSE_COUNTS, EXTENT, GRID, offsets(5, False), GAUSS),
 )
-def agg38_density_estimate(spark: SparkSession, d: str) -> DataFrame:
+def agg38_density_estimate(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
     """Two-dimensional histogram of the molecules, smoothed by a Gaussian."""
-    n, ex = coarse(spark, d)
+    n, ex = pixels(spark, d)
     return R.stencil(n, "n", ex, R.gaussian(1.0, 5), target="s").select("px", "py", F.round("s", 6).alias("density"))
 
 
@@ -226,8 +229,13 @@ def agg38_density_estimate(spark: SparkSession, d: str) -> DataFrame:
     "select g.px, g.py, coalesce(s, 0)::bigint as box_sum from g left join (select px + dx as px, py + dy as py, sum(n) as s from c, o group by 1, 2) using (px, py)",
     (TX, COARSE_COUNTS, EXTENT, GRID, offsets(2, False)),
 )
-def agg39_box_sum(spark: SparkSession, d: str) -> DataFrame:
+def agg39_box_sum(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
     """Molecules in the square window around every pixel."""
-    n, ex = coarse(spark, d)
+    n, ex = pixels(spark, d)
     box = {(i, j): 1.0 for i in range(-2, 3) for j in range(-2, 3)}
     return R.stencil(n, "n", ex, box, target="s").select("px", "py", F.col("s").cast("long").alias("box_sum"))
+
+
+#: The same over every pixel of a micrometre, without SQL as that would be too slow on large sections.
+for _fn in (img04_energy, img05_edge_strength, img06_relevance, img07_entropy_uniformity, img08_homogeneity, img11_intensity_snr, img12_custom_window, agg38_density_estimate, agg39_box_sum):
+    QUERIES[f"{_fn.__name__}_pixels"] = partial(_fn, pixels=counts)
