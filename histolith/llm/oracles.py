@@ -48,4 +48,19 @@ union all
 select feature_name, run_day, 'z' from latest
 where feature_name is not null and z is not null and not isnan(z)
 group by feature_name, run_day having count(*) >= 20 and quantile_cont(z, 0.9) > 30""",
+    "p9_counts": r"""
+with d as (select doc_id, replace(replace(coalesce(text, ''), chr(13)||chr(10), chr(10)), chr(13), chr(10)) as t from documents),
+w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[\s\x0b\p{Z}]+'), lambda x: x <> '') as tokens,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\s\x0b\p{Z}]')) as lines,
+             list_filter(regexp_split_to_array(lower(regexp_replace(t, '([\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}])', '\1 ', 'g')), '[^\p{L}\p{M}’'']+'), lambda x: x <> '') as terms
+      from d),
+c as (select list(distinct lower(word)) as words from common_words),
+n as (select doc_id, t, tokens, lines, terms, len(array_to_string(tokens, '')) as solid, len(tokens) as n_words, len(terms) as n_terms, len(list_filter(terms, lambda x: list_contains(words, x))) as known from w, c)
+select doc_id, case when n_words > 0 then len(t)::double else 0 end as n_chars, n_words::double as n_words, len(lines)::double as n_lines,
+       case when n_words > 0 then round(solid / n_words, 9) else 0 end as mean_word_length,
+       case when n_words > 0 then round(len(regexp_replace(t, '[^\p{L}]+', '', 'g')) / solid, 9) else 0 end as letter_ratio,
+       case when n_words > 0 then round(len(regexp_replace(t, '[^\p{N}]+', '', 'g')) / solid, 9) else 0 end as digit_ratio,
+       case when n_terms > 0 then round(known / n_terms, 9) else 0 end as common_share,
+       len(list_distinct(terms))::double as distinct_terms
+from n""",
 }

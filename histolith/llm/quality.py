@@ -1,6 +1,6 @@
 """Per-document text statistics, and an ordered rule list learned on labelled documents.
 
-All statistics are built-in SQL functions over whole texts, evaluated in the JVM without a
+The statistics cover whole texts and are worked out on arrays of code points (``textstats``), without a
 shuffle. The rules are induced by incremental reduced-error pruning: for each kind, rarest
 first, a rule is grown on two thirds of the labelled documents by information gain, cut
 back on the other third, kept while it is right more often than wrong there, and its
@@ -10,13 +10,16 @@ expression and applied natively to all documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histolith.session import spread
+from histolith.llm import textstats
+from histolith.session import map_arrow, spread
 
 #: Labelled documents the rules are fitted on, at most; more are thinned by the hash of the id.
 FIT_ROWS = 50_000
@@ -27,43 +30,10 @@ OTHER = "prose"
 SIZES = ("n_chars", "n_lines")
 
 
-CJK = "぀-ヿ一-鿿"
-STOPS = ".!?。！？…"
-CLOSERS = "\"'”’»)\\]"
-#: A token that is no word of any language: hex pairs, long encoded runs, stretched characters, symbols
-#: only, letters without a vowel, and marks of text decoded by a wrong character set.
-NOISE = (
-    r"^[0-9][a-f]$|^[a-f][0-9]$|^[A-Za-z0-9+/]{30,}={0,2}$|(\S)\1{3}|^[^\p{L}\p{N}]{5,}$"
-    r"|^[^\p{L}\p{N}]*[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{4,}[^\p{L}\p{N}]*$|[ÃÂÐ�€¤¶]|ï»¿|[Ÿœ]"
-)
+def document_statistics(docs: DataFrame, key: str, text: str, common_words: list[str], *, only: set[str] | None = None) -> DataFrame:
+    """``key`` and one double column per statistic (``only`` those named), a row per row of the input.
 
-
-def _ratio(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-
-
-def _line_facts(s: Column) -> Column:
-    words = F.size(F.split(s, r"\s+"))
-    ends = s.rlike(f"[{STOPS}][{CLOSERS}]*$")
-    wide = F.regexp_count(s, F.lit(r" {3,}(?=\S)")) >= 2
-    among = lambda c: F.length(s) - F.length(F.translate(s, c, ""))
-    tight = lambda c: F.regexp_count(s, F.lit(rf"{c}(?=\S)")) >= 3
-    cells = (among("\t") >= 2) | (among("|") >= 2) | tight(";") | tight(",") | wide | (F.regexp_count(s, F.lit("</t[dh]>")) >= 2)
-    return F.struct(
-        F.length(s).alias("chars"),
-        ends.alias("ends"),
-        s.rlike(r"^(?:[-*•·+–]|\[[ xX]?\]|\(?[0-9]{1,3}[.)\]]|\(?[a-zA-Z][.)])\s+\S").alias("bullet"),
-        ((words <= 7) & ~ends).alias("short"),
-        (words <= 3).alias("tiny"),
-        cells.alias("cells"),
-    )
-
-
-def document_statistics(docs: DataFrame, key: str, text: str, common_words: list[str]) -> DataFrame:
-    """``key`` and one double column per statistic, a row per row of the input.
-
-    The text is cut to tokens, terms and lines once, in projections of their own, so that no
-    statistic repeats that work. CJK characters count as a term each.
+    CJK characters count as a term each; white space is that of ASCII and of Unicode.
 
     Defined cases: null, empty and blank texts have 0 in every statistic; texts of any length
     are counted whole; ratios with an empty denominator are 0; other columns are ignored, so
@@ -71,67 +41,19 @@ def document_statistics(docs: DataFrame, key: str, text: str, common_words: list
     """
     if len(common_words) > MOST_COMMON_WORDS:
         raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
-    src = docs.select(F.col(key).alias("_key"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n").alias("_t"))
-    filled = lambda a: F.filter(a, lambda w: w != "")
-    src = src.select(
-        "_key",
-        "_t",
-        filled(F.split("_t", r"\s+")).alias("_tokens"),
-        filled(F.split(F.lower("_t"), rf"[^\p{{L}}\p{{M}}’']+|(?<=[{CJK}])")).alias("_terms"),
-        filled(F.transform(F.split("_t", "\n"), lambda s: F.btrim(s, F.lit(" \t\f\x0b\u00a0\u3000")))).alias("_lines"),
-    )
-    src = src.withColumns(
-        {
-            "_facts": F.transform("_lines", _line_facts),
-            "_common": F.transform("_terms", lambda w: w.isin(*common_words)) if common_words else F.transform("_terms", lambda w: F.lit(False)),
-            "_noise": F.aggregate(F.filter("_tokens", lambda w: w.rlike(NOISE)), F.lit(0), lambda a, w: a + F.length(w)),
-            "_chars": F.aggregate("_tokens", F.lit(0), lambda a, w: a + F.length(w)),
-            "_distinct": F.size(F.array_distinct("_terms")),
-        }
-    )
-    t, facts = F.col("_t"), F.col("_facts")
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    chars, n_words, n_terms, n_lines = F.col("_chars"), F.size("_tokens"), F.size("_terms"), F.size("_lines")
-    line_chars = F.aggregate(facts, F.lit(0), lambda a, f: a + f["chars"])
-    share = lambda name: _ratio(F.size(F.filter(facts, lambda f: f[name])), n_lines)
-    chars_of = lambda name: _ratio(F.aggregate(F.filter(facts, lambda f: f[name]), F.lit(0), lambda a, f: a + f["chars"]), line_chars)
-    # Runs are deleted and the rest measured: counting matches would build a string for each of them.
-    kept = lambda p: F.length(F.regexp_replace(t, p, ""))
-    letters = kept(r"[^\p{L}]+")
-    pairs = F.size(F.filter(F.zip_with(F.slice("_common", 1, F.greatest(n_terms - 1, F.lit(0))), F.slice("_common", 2, F.greatest(n_terms, F.lit(1))), lambda a, b: a & b), lambda x: x))
-    stats = {
-        "n_chars": F.length(t),
-        "n_words": n_words,
-        "n_lines": n_lines,
-        "mean_word_length": _ratio(chars, n_words),
-        "mean_line_words": _ratio(n_words, n_lines),
-        "symbol_ratio": _ratio(kept(r"[\p{L}\p{N}\s]+"), chars),
-        "digit_ratio": _ratio(kept(r"[^\p{N}]+"), chars),
-        "upper_ratio": _ratio(kept(r"[^\p{Lu}]+"), letters),
-        "letter_ratio": _ratio(letters, chars),
-        "cjk_ratio": _ratio(kept(f"[^{CJK}]+"), chars),
-        "noise_share": _ratio(F.col("_noise"), chars),
-        "line_end_share": share("ends"),
-        "line_end_chars": chars_of("ends"),
-        "bullet_share": share("bullet"),
-        "bullet_chars": chars_of("bullet"),
-        "short_line_share": share("short"),
-        "short_line_chars": chars_of("short"),
-        "tiny_line_share": share("tiny"),
-        "cell_line_share": share("cells"),
-        "cell_line_chars": chars_of("cells"),
-        "distinct_line_share": _ratio(F.size(F.array_distinct("_lines")), n_lines),
-        "number_share": _ratio(count(r"(?<![\p{L}\p{N}])[0-9][0-9.,%]*(?![\p{L}\p{N}])"), n_words),
-        "common_share": _ratio(F.size(F.filter("_common", lambda x: x)), n_terms),
-        "common_pair_share": _ratio(pairs, n_terms),
-        "distinct_terms": F.col("_distinct"),
-        "distinct_share": _ratio(F.col("_distinct"), n_terms),
-        "stop_rate": _ratio(count(rf"[{STOPS}](?=[\s<\[{CLOSERS}]|$)"), n_terms),
-        "inner_stop_rate": _ratio(count(rf"\p{{L}}[\p{{L}}\p{{N}}]+[{STOPS}][{CLOSERS}]*(?:[ \u00a0]+\S|(?<=[。！？])[{CJK}])"), n_lines),
-        "comma_rate": _ratio(count(r"[,;:、，]"), n_terms),
-    }
-    blank = ~t.rlike(r"\S")
-    return src.select(F.col("_key").alias(key), *[F.when(blank, F.lit(0.0)).otherwise(c.cast("double")).alias(n) for n, c in stats.items()])
+    names = [n for n in textstats.STATISTICS if only is None or n in only]
+    common = textstats.word_hashes(common_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("_t").to_pylist()]
+            for a, b in textstats.chunks(texts):
+                found = textstats.statistics(texts[a:b], common)
+                yield pa.RecordBatch.from_arrays([batch.column("_key").slice(a, b - a), *[pa.array(found[n]) for n in names]], names=["_key", *names])
+
+    kind = docs.schema[key].dataType.simpleString()
+    src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_t"))
+    return map_arrow(src, run, ", ".join([f"_key {kind}", *[f"{n} double" for n in names]])).withColumnRenamed("_key", key)
 
 
 @dataclass(frozen=True)
@@ -290,7 +212,6 @@ def classify(
 ) -> DataFrame:
     """``key``, ``kind`` of every document with a text; null, blank and ``ignored`` texts have no row, nor has the kind ``without``."""
     usable = docs.where(F.col(text).rlike(r"\S") & ~F.trim(F.col(text)).isin(*ignored))
-    stats = document_statistics(spread(usable.select(key, text)), key, text, common_words)
-    # A filter on the kind would be pushed down to the texts and repeat all statistics there; an explode is not.
-    kept = F.filter(F.array(rule_case(rules)), lambda k: k != without) if without is not None else F.array(rule_case(rules))
-    return stats.select(key, F.explode(kept).alias("kind"))
+    used = {c.feature for r in rules for c in r.conditions}
+    kinds = document_statistics(spread(usable.select(key, text)), key, text, common_words, only=used).select(key, rule_case(rules).alias("kind"))
+    return kinds.where(F.col("kind") != without) if without is not None else kinds

@@ -112,10 +112,17 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.document_statistics(table(spark, d, "documents"), "doc_id", "text", common_words(spark, d))
 
 
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that SQL can tell as well."""
+    names = ["n_chars", "n_words", "n_lines", "mean_word_length", "letter_ratio", "digit_ratio", "common_share", "distinct_terms"]
+    stats = quality.document_statistics(table(spark, d, "documents"), "doc_id", "text", common_words(spark, d), only=set(names))
+    return stats.select("doc_id", *[F.round(n, 9).alias(n) for n in names])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     words, docs = common_words(spark, d), table(spark, d, "documents")
     rules = quality.fit_rules(docs, table(spark, d, "doc_labels"), "doc_id", "text", "label", words)
     return quality.classify(docs, "doc_id", "text", rules, words, without=quality.OTHER)
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_stats": p9_stats, "p2_found": p2_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}
+QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts, "p2_found": p2_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}

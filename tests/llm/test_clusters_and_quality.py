@@ -103,7 +103,42 @@ def test_long_and_odd_texts(spark):
     a, b, c = stats(spark, "test " * 50_000, "これは核です。それは台です。", "ÃÂ â€™ " * 30)
     assert a["distinct_terms"] == 1 and a["n_words"] == 50_000
     assert b["cjk_ratio"] > 0.8 and b["stop_rate"] > 0
-    assert c["noise_share"] > 0.8
+    assert c["foreign_ratio"] > 0.8
+
+
+def plain_statistics(t):
+    """Some statistics of one text by patterns, one after another."""
+    import re
+
+    import regex
+
+    t = (t or "").replace("\r\n", "\n").replace("\r", "\n")
+    lines = [s for s in (regex.sub(r"^[\s\p{Z}]+|[\s\p{Z}]+$", "", x) for x in t.split("\n")) if s]
+    tokens = [w for w in regex.split(r"[\s\p{Z}]+", t) if w]
+    ends = [bool(re.search(r"[.!?。！？…][\"'”’»)\]]*$", s)) for s in lines]
+    bullet = [bool(re.match(r"(?:[-*•·+–]|\[[ xX]?\]|\(?[0-9]{1,3}[.)\]]|\(?[a-zA-Z][.)])\s+\S", s)) for s in lines]
+    cells = [
+        s.count("\t") >= 2 or s.count("|") >= 2 or len(re.findall(r";(?=\S)", s)) >= 3 or len(re.findall(r",(?=\S)", s)) >= 3 or len(re.findall(r" {3,}(?=\S)", s)) >= 2 or len(re.findall("</t[dh]>", s)) >= 2
+        for s in lines
+    ]
+    solid = sum(map(len, tokens))
+    return {
+        "n_words": len(tokens), "n_lines": len(lines), "line_end_share": np.mean(ends), "bullet_share": np.mean(bullet), "cell_line_share": np.mean(cells), "distinct_line_share": len(set(lines)) / len(lines),
+        "letter_ratio": len(regex.findall(r"\p{L}", t)) / solid, "digit_ratio": len(regex.findall(r"\p{N}", t)) / solid, "longest_word": max(map(len, tokens)),
+        "repeat_rate": sum(len(m[0]) for m in re.finditer(r"(\S)\1{3,}", t)) / solid, "short_line_share": np.mean([len(s.split()) <= 7 and not e for s, e in zip(lines, ends)]),
+        "bullet_chars": sum(len(s) for s, b in zip(lines, bullet) if b) / sum(map(len, lines)),
+    }
+
+
+def test_statistics_equal_patterns(spark):
+    """Arrays of code points against one pattern per statistic, over odd pieces in random order and across chunks."""
+    rng = np.random.default_rng(6)
+    pieces = ["- a", "[ ] b c", "[x] d", "(12) e", "3. f", "a) g", "*", "x\ty\tz", "1;2;3;4", "a, b, c", "p|q|r", "u   v   w", "</td></th>", "end.", 'end?"', "。漢字", "aaaa", "....", "\u00a0", "\u3000x", "", " ", "\r", "é", "🎉ok", "12", "(", "[", "1234. z"]
+    texts = ["\n".join(" ".join(rng.choice(pieces, rng.integers(1, 4))) for _ in range(rng.integers(1, 6))) for _ in range(400)]
+    texts = [t for t in texts if t.strip(" \r\n\u00a0\u3000")]
+    for got, t in zip(stats(spark, *texts), texts):
+        want = plain_statistics(t)
+        assert {k: round(got[k], 9) for k in want} == {k: round(float(v), 9) for k, v in want.items()}, t
 
 
 def made_corpus(n, seed):
