@@ -7,13 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histolith.operators.proximity import finite, points_within
+from histolith.operators.proximity import finite, near_pairs
 from histolith.session import materialize
 
 
 def radius_pairs(cells: DataFrame, radius: float, *, key: str = "cell_id", include_self: bool = False) -> DataFrame:
-    """``src``, ``dst``, ``distance`` of all ordered pairs at most ``radius`` apart."""
-    pairs = points_within(cells, cells, radius, query_key=key, point_key=key).select(F.col(key).alias("src"), F.col(f"{key}_near").alias("dst"), "distance")
+    """``src``, ``dst``, ``distance``, and the steps ``dx``, ``dy`` from src to dst, of all ordered pairs at most ``radius`` apart.
+
+    ``cells`` has one row per key, as for all functions of this module; so no pair needs to be grouped.
+    """
+    pairs = near_pairs(cells, cells, radius, query_key=key, point_key=key, unique=True)
+    pairs = pairs.select(F.col("_qid").alias("src"), F.col("_rid").alias("dst"), "distance", (F.col("_rx") - F.col("_qx")).alias("dx"), (F.col("_ry") - F.col("_qy")).alias("dy"))
     return pairs if include_self else pairs.where(F.col("src") != F.col("dst"))
 
 
@@ -60,7 +64,7 @@ def nearest(
     return out.select(F.col("_q").alias(query_key), F.col("_p").alias(point_key), F.col("_d").alias("distance"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, *, key: str = "cell_id", rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, *, key: str = "cell_id", rounds: int = 100) -> DataFrame:
     """key, component: the least key that can be reached from each node.
 
     Alternating star contraction: in a large star every larger neighbour of a node is linked to the node's least
@@ -82,6 +86,8 @@ def components(nodes: DataFrame, edges: DataFrame, *, key: str = "cell_id", roun
         if tuple(now) == mark:
             break
         mark = tuple(now)
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.groupBy(F.col("v").alias(key)).agg(F.min("u").alias("_root"))
     return nodes.select(key).distinct().join(roots, key, "left").select(key, F.coalesce("_root", key).alias("component"))
 
@@ -99,9 +105,7 @@ def border_scores(cells: DataFrame, *, radius: float = 50.0, angles: int = 36, l
     For each of ``angles`` directions the log2 ratio of neighbours before and behind the line; half of
     the directions are enough, as the opposite one has the same absolute value. One pass over the pairs.
     """
-    pos = cells.select(F.col(key).alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    own = cells.select(F.col(key).alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    pairs = radius_pairs(cells, radius, key=key).join(own, "src").join(pos, "dst").select("src", (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy"))
+    pairs = radius_pairs(cells, radius, key=key).select("src", "dx", "dy")
     side = lambda k: F.round(F.col("dx") * round(math.cos(2 * math.pi * k / angles), 12) + F.col("dy") * round(math.sin(2 * math.pi * k / angles), 12), 9)
     aggs = []
     for k in range(angles // 2):
@@ -140,7 +144,7 @@ def communities(nodes: DataFrame, edges: DataFrame, *, key: str = "cell_id", rou
 
 
 def moran(values: DataFrame, edges: DataFrame, nodes: DataFrame, *, key: str = "cell_id", by: str = "gene", value: str = "n") -> DataFrame:
-    """by, morans_i, expected, variance: global autocorrelation over row-standardised neighbour weights.
+    """by, morans_i, expected, variance (one value per key and ``by``): global autocorrelation over row-standardised neighbour weights.
 
     ``values`` holds the non-zero values only; zeros are put in by algebra: the sum over (x - m) (y - m) expands to sums over
     pairs of non-zeros, the neighbours' column sums and the number of nodes. Isolated nodes count in the mean. ``variance`` is that
@@ -159,9 +163,10 @@ def moran(values: DataFrame, edges: DataFrame, nodes: DataFrame, *, key: str = "
     node = nodes.select(key).distinct().join(columns, key, "left").join(degree.select(F.col("src").alias(key), F.lit(1.0).alias("r")), key, "left").fillna(0.0, ["c", "r"])
     s2 = node.agg(F.sum(F.pow(F.col("c") + F.col("r"), 2))).first()[0] or 0.0
     own = v.join(node, key).groupBy(by).agg(F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("ss"), F.sum(F.col("_x") * F.col("c")).alias("xc"), F.sum(F.col("_x") * F.col("r")).alias("xr"))
-    a = v.select(F.col(key).alias("src"), by, F.col("_x").alias("xa"))
-    b = v.select(F.col(key).alias("dst"), by, F.col("_x").alias("xb"))
-    pair = w.join(a, "src").join(b, ["dst", by]).groupBy(by).agg(F.sum(F.col("w") * F.col("xa") * F.col("xb")).alias("xy"))
+    # A cell's values travel once per edge, as a map; the neighbours' weighted values meet the own ones in the cell.
+    values_of = v.groupBy(F.col(key).alias("dst")).agg(F.map_from_entries(F.collect_list(F.struct(by, "_x"))).alias("_values"))
+    lag = w.join(values_of, "dst").select("src", "w", F.explode("_values").alias(by, "xb")).groupBy("src", by).agg(F.sum(F.col("w") * F.col("xb")).alias("lag"))
+    pair = lag.join(v.select(F.col(key).alias("src"), by, F.col("_x").alias("xa")), ["src", by]).groupBy(by).agg(F.sum(F.col("xa") * F.col("lag")).alias("xy"))
     m = F.col("s") / n
     top = F.coalesce("xy", F.lit(0.0)) - m * F.col("xr") - m * F.col("xc") + m * m * s0
     bottom = F.col("ss") - n * m * m

@@ -71,3 +71,17 @@ def test_rings(spark):
     want = {(1, 1), (1, 2), (1, 3), (1, 4), (3, 4), (6, 4)} | {(i, 10) for i in (1, 2, 3, 5, 6)}
     assert inside(spark, points, rings) == want
     assert inside(spark, points, []) == set() and inside(spark, [], rings) == set()
+
+
+def test_heavy_cells_on_both_sides(spark):
+    """One ring around all points, and a third of the points in one cell: both sides are salted, no pair is lost."""
+    rng = random.Random(5)
+    points = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(200)] + [(200 + i, 50.0 + rng.uniform(0, 0.5), 50.0) for i in range(100)]
+    rings = [(1, [(-1.0, -1.0), (101.0, -1.0), (101.0, 101.0), (-1.0, 101.0)])] + [(2 + i, [(x, x), (x + 3, x), (x + 3, x + 3)]) for i, x in enumerate(range(0, 90, 3))]
+    r = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in v]) for i, v in rings], "rid int, ring array<struct<x:double,y:double>>")
+    ask = lambda n: {(x["id"], x["rid"]) for x in points_in_rings(frame(spark, points), r, point_key="id", ring_key="rid", split_rows=n).collect()}
+    want = ask(10**9)
+    assert ask(160) == want and {(i, 1) for i in range(300)} <= want
+    close = {(i, j) for i, x, y in points for j, u, v in points if math.sqrt((x - u) ** 2 + (y - v) ** 2) <= 2.0}
+    assert near(spark, points, points, 2.0, split_rows=20) == close
+    assert near(spark, points, points, 2.0, unique=True, split_rows=20) == close
