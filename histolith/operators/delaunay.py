@@ -114,7 +114,7 @@ def triangle_edges(triangles: DataFrame) -> DataFrame:
 def void_clusters(triangles: DataFrame, *, share: float = 0.75, least: int = 30) -> DataFrame:
     """triangles with ``tid``, ``cluster`` and ``n_triangles``: neighbours across long edges form voids.
 
-    The limit of a long edge is the ``share`` quantile of all edge lengths, shared edges counted once. Clusters of fewer
+    The limit of a long edge is the ``share`` quantile of the lengths of the edges that two triangles share. Clusters of fewer
     than ``least`` triangles have the cluster -1 and count as 1.
     """
     names = F.concat_ws("-", "a", "b", "c")
@@ -123,7 +123,8 @@ def void_clusters(triangles: DataFrame, *, share: float = 0.75, least: int = 30)
     length = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2))
     side = lambda s, d, i, j: F.struct(F.col(s).alias("s"), F.col(d).alias("d"), length(v(i), v(j)).alias("len"))
     sides = t.select("tid", F.explode(F.array(side("a", "b", 0, 1), side("b", "c", 1, 2), side("a", "c", 0, 2))).alias("_s")).select("tid", "_s.s", "_s.d", "_s.len")
-    limit = sides.select("s", "d", "len").distinct().agg(F.percentile("len", F.lit(share)).alias("_t"))
+    shared = sides.groupBy("s", "d").agg(F.count(F.lit(1)).alias("_n"), F.min("len").alias("len")).where(F.col("_n") == 2)
+    limit = shared.agg(F.percentile("len", F.lit(share)).alias("_t"))
     long = T.one_row(sides, limit).where(F.col("len") >= F.col("_t")).groupBy("s", "d").agg(F.min("tid").alias("src"), F.max("tid").alias("dst"))
     comp = components(t.select("tid"), long.where(F.col("src") < F.col("dst")).select("src", "dst"), key="tid")
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))

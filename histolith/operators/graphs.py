@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,11 +124,12 @@ def neighbour_share(cells: DataFrame, flag: Column, *, radius: float = 30.0, key
     return cells.select(key).distinct().join(s, key, "left").fillna(0.0, ["share"])
 
 
-def communities(nodes: DataFrame, edges: DataFrame, *, key: str = "cell_id", rounds: int = 10) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, *, key: str = "cell_id", rounds: int = 30) -> DataFrame:
     """key, community: label propagation over weighted edges (src, dst, weight in both directions).
 
     In each round a node takes the label of greatest total weight around it, its own label counting half of the heaviest
-    edge so that pairs do not swap labels for ever; of equal ones the least. Stops when no label changes.
+    edge so that pairs do not swap labels for ever; of equal ones the least. Stops when no label changes; a warning tells
+    where that is not so after ``rounds``.
     """
     labels = materialize(nodes.select(F.col(key).alias("id")).distinct().withColumn("label", F.col("id")), "labels")
     for _ in range(rounds):
@@ -140,6 +142,8 @@ def communities(nodes: DataFrame, edges: DataFrame, *, key: str = "cell_id", rou
         labels = moved.select("id", F.col("new").alias("label"))
         if not changes:
             break
+    else:
+        warnings.warn(f"labels still change after {rounds} rounds", stacklevel=2)
     return labels.select(F.col("id").alias(key), F.col("label").alias("community"))
 
 

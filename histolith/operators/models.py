@@ -81,7 +81,7 @@ def principal_components(vectors: DataFrame, k: int) -> tuple[DataFrame, list[fl
 
 
 def assemble(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df).select(*keep, "features")
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(df).select(*keep, "features")
 
 
 def kmeans(vectors: DataFrame, k: int, keep: list[str], seed: int = 123) -> DataFrame:

@@ -53,12 +53,26 @@ def good_neighbour_prior(cells: DataFrame, flag: str = "bad", radius: float = 30
 
 
 def celltype_bounds(cells: DataFrame, metrics: list[str], *, flags: str = "artefact", enough: int = 100) -> DataFrame:
-    """celltype, metric, low, high: median -+ MAD over the cells without artefact, or over all where fewer than ``enough`` are clean."""
+    """celltype, metric, low, high: bounds between clean cells (``none``), doublets (``doublet``) and cells without nucleus (``nucleus_free``).
+
+    With more than ``enough`` doublets, and more than ``enough`` or no nucleus-free cells, the upper bound is median - MAD
+    of the doublets; with more than ``enough`` nucleus-free cells, and more than ``enough`` or no doublets, the lower bound is median + MAD of
+    those. Other bounds are median -+ MAD of the clean cells, and 0 where there is none.
+    """
     kinds = cells.where(F.col("celltype").isNotNull())
-    clean = kinds.groupBy("celltype").agg(F.count_if(F.col(flags) == "none").alias("_clean"))
-    used = kinds.join(clean, "celltype").where((F.col("_clean") <= enough) | (F.col(flags) == "none"))
-    long = used.select("celltype", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("e")).select("celltype", "e.metric", "e.v")
-    return T.median_mad(long.where(F.col("v").isNotNull()), "v", ["celltype", "metric"]).select("celltype", "metric", "low", "high")
+    long = kinds.select("celltype", F.col(flags).alias("_flag"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("e"))
+    long = long.select("celltype", "_flag", "e.metric", "e.v").where(F.col("v").isNotNull())
+    by = ["celltype", "metric", "_flag"]
+    stats = T.median_mad(long, "v", by).join(long.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    of = lambda flag, value: F.max(F.when(F.col("_flag") == flag, F.col(value)))
+    columns = [of(flag, c).alias(f"_{c}_{flag}") for flag in ("none", "doublet", "nucleus_free") for c in ("low", "high", "n")]
+    w = stats.groupBy("celltype", "metric").agg(*columns)
+    n = lambda flag: F.coalesce(F.col(f"_n_{flag}"), F.lit(0))
+    clear = lambda flag, other: (n(flag) > enough) & ((n(other) > enough) | (n(other) == 0))
+    none = n("none") == 0
+    low = F.when(none, 0.0).when(clear("nucleus_free", "doublet"), F.col("_high_nucleus_free")).otherwise(F.col("_low_none"))
+    high = F.when(none, 0.0).when(clear("doublet", "nucleus_free"), F.col("_low_doublet")).otherwise(F.col("_high_none"))
+    return w.select("celltype", "metric", low.alias("low"), high.alias("high"))
 
 
 def outside_bounds(cells: DataFrame, bounds: DataFrame, metric: str) -> DataFrame:

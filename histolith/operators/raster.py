@@ -290,12 +290,13 @@ def otsu_threshold(pixels: DataFrame, value: str) -> DataFrame:
 def box_counting_dimension(pixels: DataFrame, extent: Extent) -> DataFrame:
     """One row ``dimension``: minus the slope of log(boxes) over log(box size) of the occupied pixels.
 
-    Boxes of 1, 2, 4, ... pixels over the largest square of a power of two within the extent.
+    Boxes of 4, 8, 16, ... pixels, up to the whole of the largest square of a power of two within the extent; null for a
+    square of fewer than 8 pixels.
     """
     n = int(np.floor(np.log2(min(extent.width, extent.height))))
     side = 2**n
     kept = pixels.select((F.col("px") - extent.x0).alias("x"), (F.col("py") - extent.y0).alias("y")).where((F.col("x") < side) & (F.col("y") < side))
-    sized = kept.withColumn("k", F.explode(F.array(*[F.lit(2**i) for i in range(n)])))
+    sized = kept.withColumn("k", F.explode(F.array(*[F.lit(2**i) for i in range(2, n + 1)]).cast("array<int>")))
     boxes = sized.select("k", F.floor(F.col("x") / F.col("k")).alias("bx"), F.floor(F.col("y") / F.col("k")).alias("by")).distinct().groupBy("k").agg(F.count(F.lit(1)).alias("boxes"))
     return boxes.agg((-F.regr_slope(F.ln("boxes"), F.ln("k"))).alias("dimension"))
 

@@ -94,7 +94,7 @@ def pearson(df: DataFrame, a: str, b: str, by: list[str] | None = None, more_tha
     return kept.groupBy(*(by or [])).agg(F.corr(a, b).alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
 
 
-def cell_qc(expr: DataFrame, genes: DataFrame, tops: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
+def cell_qc(expr: DataFrame, genes: DataFrame, tops: tuple[int, ...] = (10, 20, 50, 150)) -> DataFrame:
     """Per cell: total_counts, n_genes, pct_mt, pct_ribo and pct_top_N of its most frequent genes."""
     flags = genes.select("gene", F.col("gene").startswith("MT-").alias("_mt"), (F.col("gene").startswith("RPS") | F.col("gene").startswith("RPL")).alias("_ribo"))
     order = Window.partitionBy("cell_id").orderBy(F.col("n").desc(), "gene")

@@ -114,10 +114,17 @@ def _cell_prior(s: Section, flagged: DataFrame, flag: str) -> DataFrame:
     return priors.combine(priors.good_neighbour_prior(flagged, flag).join(doublet, "cell_id"), ["p_good", "p_doublet"], "p")
 
 
+#: A cell is a doublet with one nearer than this.
+DOUBLET_REACH = 10.0
+
+
 def hqcr(s: Section, celltype: bool = False) -> dict[str, DataFrame]:
     """Beliefs of the cell layer: prior per cell, drawn to pixels, smoothed, and brought back to cells."""
     if celltype:
-        c = s.cells.withColumn("artefact", F.when(F.col("nucleus_area").isNull(), "nucleus_free").otherwise("none"))
+        near = graphs.nearest(s.cells, s.doublets, query_key="cell_id", point_key="doublet_id", within=DOUBLET_REACH).select("cell_id", F.lit(True).alias("_near"))
+        free = F.coalesce("nucleus_area", F.lit(0.0)) == 0
+        kind = F.when(F.coalesce("_near", F.lit(False)), "doublet").when(free, "nucleus_free").otherwise("none")
+        c = materialize(s.cells.join(near, "cell_id", "left").withColumn("artefact", kind).drop("_near"), "artefacts")
         flagged, flag = priors.outside_bounds(c, priors.celltype_bounds(c, ["transcript_counts"]), "transcript_counts"), "outside"
     else:
         flagged, flag = priors.bad_cluster_flags(s.cells, "leiden", "transcript_counts"), "bad"

@@ -403,7 +403,7 @@ def agg19_control_percentages(spark: SparkSession, d: str) -> DataFrame:
     """select cell_id, sum(n)::bigint as total_counts, count(*) as n_genes, round(100.0 * sum(case when gene like 'MT-%' and on_panel then n else 0 end) / sum(n), 6) as pct_mt,
     round(100.0 * sum(case when (gene like 'RPS%' or gene like 'RPL%') and on_panel then n else 0 end) / sum(n), 6) as pct_ribo,
     round(100.0 * sum(case when rk <= 10 then n else 0 end) / sum(n), 6) as pct_top_10, round(100.0 * sum(case when rk <= 20 then n else 0 end) / sum(n), 6) as pct_top_20,
-    round(100.0 * sum(case when rk <= 50 then n else 0 end) / sum(n), 6) as pct_top_50
+    round(100.0 * sum(case when rk <= 50 then n else 0 end) / sum(n), 6) as pct_top_50, round(100.0 * sum(case when rk <= 150 then n else 0 end) / sum(n), 6) as pct_top_150
     from (select e.*, g.gene is not null as on_panel, row_number() over (partition by cell_id order by n desc, e.gene) as rk from expr e left join gene_panel g on e.gene = g.gene) group by cell_id""",
     (TX, EXPR),
 )
@@ -412,17 +412,23 @@ def agg20_cell_quality(spark: SparkSession, d: str) -> DataFrame:
     return q.select("cell_id", "total_counts", "n_genes", *[r6(c).alias(c) for c in q.columns if c.startswith("pct_")])
 
 
-@query("select gene, count(*) as n_cells from expr group by gene having count(*) < (select least(100, ceil(0.01 * count(distinct cell_id))) from expr)", (TX, EXPR))
+@query(
+    """select gene, coalesce(n, 0) as n_cells from (select gene from gene_panel where gene is not null union select gene from expr) left join (select gene, count(*) as n from expr group by gene) using (gene)
+    where coalesce(n, 0) <= (select least(100, ceil(0.01 * count(distinct cell_id))) from cells)""",
+    (TX, EXPR, CELLS),
+)
 def agg21_rare_genes(spark: SparkSession, d: str) -> DataFrame:
-    e = B.expression(B.transcripts(spark, d))
-    n = e.groupBy("gene").agg(F.count(F.lit(1)).alias("n_cells"))
-    limit = e.select("cell_id").distinct().agg(F.least(F.lit(100.0), F.ceil(F.count(F.lit(1)) * 0.01)).alias("_limit"))
-    return T.one_row(n, limit).where(F.col("n_cells") < F.col("_limit")).select("gene", "n_cells")
+    """Genes, of the panel or counted, that are in no more cells than 100 or one in a hundred of all cells; those in none included."""
+    n = B.expression(B.transcripts(spark, d)).groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+    names = B.genes(spark, d).select("gene").where(F.col("gene").isNotNull()).union(n.select("gene")).distinct()
+    limit = B.cells(spark, d).agg(F.least(F.lit(100.0), F.ceil(F.count_distinct("cell_id") * 0.01)).alias("_limit"))
+    found = names.join(n, "gene", "left").select("gene", F.coalesce("n", F.lit(0)).alias("n_cells"))
+    return T.one_row(found, limit).where(F.col("n_cells") <= F.col("_limit")).select("gene", "n_cells")
 
 
 @query()
 def agg22_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return T.bootstrap_means(B.cells(spark, d).where(F.col("celltype").isNotNull()).select("celltype", "cell_id", "cell_area"), "celltype", "cell_area", rounds=200)
+    return T.bootstrap_means(B.cells(spark, d).where(F.col("celltype").isNotNull()).select("celltype", "cell_id", "cell_area"), "celltype", "cell_area")
 
 
 @query(

@@ -104,9 +104,16 @@ def model21_pixel_prior(spark: SparkSession, d: str) -> DataFrame:
 
 
 ARTEFACT = """art as (select *, case when nucleus_area is null or nucleus_area = 0 then 'nucleus_free' when control_codeword_counts > 0 and cell_area > (select avg(cell_area) from cells) then 'doublet' else 'none' end as artefact from cells)"""
-BOUNDS = """used as (select a.* from art a join (select celltype, count(*) filter (artefact = 'none') as n from art where celltype is not null group by 1) using (celltype) where n <= 100 or artefact = 'none'),
-long as (select celltype, 'transcript_counts' as metric, transcript_counts::double as v from used union all select celltype, 'cell_area', cell_area from used where cell_area is not null),
-bounds as (select celltype, metric, m - mad as low, m + mad as high from (select celltype, metric, m, median(abs(v - m)) as mad from (select *, median(v) over (partition by celltype, metric) as m from long) group by 1, 2, 3))"""
+QC = """qc as (select a.cell_id, celltype, artefact, transcript_counts::double as transcript_counts, coalesce(g, 0)::double as n_genes, coalesce(q, 0)::double as n_low_qv from art a
+left join (select cell_id, count(*) as g from expr group by 1) using (cell_id) left join (select cell_id, count(*) as q from tx where qv < 20 group by 1) using (cell_id))"""
+BOUNDS = """long as (select cell_id, celltype, artefact, metric, v from qc unpivot (v for metric in (transcript_counts, n_genes, n_low_qv)) where celltype is not null),
+dist as (select celltype, metric, artefact, m, median(abs(v - m)) as mad, count(*) as n from (select *, median(v) over (partition by celltype, metric, artefact) as m from long) group by all),
+wide as (select celltype, metric, coalesce(max(n) filter (artefact = 'none'), 0) as nc, max(m) filter (artefact = 'none') as mc, max(mad) filter (artefact = 'none') as dc,
+coalesce(max(n) filter (artefact = 'doublet'), 0) as nd, max(m) filter (artefact = 'doublet') as md, max(mad) filter (artefact = 'doublet') as dd,
+coalesce(max(n) filter (artefact = 'nucleus_free'), 0) as nf, max(m) filter (artefact = 'nucleus_free') as mf, max(mad) filter (artefact = 'nucleus_free') as df from dist group by 1, 2),
+bounds as (select celltype, metric, case when nc = 0 then 0.0 when nf > 100 and (nd > 100 or nd = 0) then mf + df else mc - dc end as low,
+case when nc = 0 then 0.0 when nd > 100 and (nf > 100 or nf = 0) then md - dd else mc + dc end as high from wide)"""
+QC_METRICS = ["transcript_counts", "n_genes", "n_low_qv"]
 
 
 def _artefacts(spark: SparkSession, d: str) -> DataFrame:
@@ -116,21 +123,42 @@ def _artefacts(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("artefact", F.when(free, "nucleus_free").when((F.col("control_codeword_counts") > 0) & (F.col("cell_area") > F.col("_mean")), "doublet").otherwise("none")).drop("_mean")
 
 
-@query("select celltype, metric, round(low, 6) as low, round(high, 6) as high from bounds", (CELLS, ARTEFACT, BOUNDS))
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    """cell_id, x, y, celltype, artefact and the three metrics that have bounds."""
+    t = materialize(B.transcripts(spark, d).select("cell_id", "gene", "qv"), "molecules")
+    genes = B.expression(t).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_genes"))
+    low = t.where(F.col("qv") < 20).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_low_qv"))
+    c = _artefacts(spark, d).select("cell_id", "x", "y", "celltype", "artefact", "transcript_counts")
+    return c.join(genes, "cell_id", "left").join(low, "cell_id", "left").fillna(0, ["n_genes", "n_low_qv"])
+
+
+@query("select celltype, metric, round(low, 6) as low, round(high, 6) as high from bounds", (TX, EXPR, CELLS, ARTEFACT, QC, BOUNDS))
 def model23_celltype_bounds(spark: SparkSession, d: str) -> DataFrame:
-    b = priors.celltype_bounds(_artefacts(spark, d), ["transcript_counts", "cell_area"])
+    b = priors.celltype_bounds(_quality(spark, d), QC_METRICS)
     return b.select("celltype", "metric", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(
     """select cell_id, coalesce(transcript_counts < low or transcript_counts > high, false)::int as outside from art left join (select * from bounds where metric = 'transcript_counts') using (celltype)""",
-    (CELLS, ARTEFACT, BOUNDS),
+    (TX, EXPR, CELLS, ARTEFACT, QC, BOUNDS),
 )
 def model24_refined_class(spark: SparkSession, d: str) -> DataFrame:
-    c = _artefacts(spark, d)
+    c = _quality(spark, d)
     return priors.outside_bounds(c, priors.celltype_bounds(c, ["transcript_counts"]), "transcript_counts").select("cell_id", "outside")
 
 
+@query(
+    """select c.cell_id, round(1 - coalesce(avg(n.outside), 0), 6) as p_good from out c left join out n on n.cell_id <> c.cell_id and abs(n.x - c.x) <= 30 and abs(n.y - c.y) <= 30
+    and sqrt((n.x - c.x) * (n.x - c.x) + (n.y - c.y) * (n.y - c.y)) <= 30 group by 1""",
+    (TX, EXPR, CELLS, ARTEFACT, QC, BOUNDS, """out as (select cell_id, x, y, coalesce(transcript_counts < low or transcript_counts > high, false)::int as outside from art left join (select * from bounds where metric = 'transcript_counts') using (celltype))"""),
+)
+def model24_refined_prior(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the neighbours that lie within the bounds of their cell type."""
+    c = materialize(_quality(spark, d), "quality")
+    flagged = priors.outside_bounds(c, priors.celltype_bounds(c, ["transcript_counts"]), "transcript_counts")
+    return priors.good_neighbour_prior(flagged, "outside").select("cell_id", r6("p_good").alias("p_good"))
+
+
 @query()
 def model14_cluster_prior(spark: SparkSession, d: str) -> DataFrame:
     s = B.cells(spark, d).where(F.col("leiden").isNotNull()).groupBy("leiden").agg(F.avg("transcript_counts").alias("score"))
@@ -139,9 +167,9 @@ def model14_cluster_prior(spark: SparkSession, d: str) -> DataFrame:
 
 # belief propagation -------------------------------------------------------------------------------
 
-COARSE = "c as (select px // 4 as px, py // 4 as py, count(*) as n from tx group by 1, 2), e as (select min(px) as x0, max(px) as x1, min(py) as y0, max(py) as y1 from c)"
+PIXELS = "c as (select px, py, count(*) as n from tx group by 1, 2), e as (select min(px) as x0, max(px) as x1, min(py) as y0, max(py) as y1 from c)"
 LBP_GRID = """g0 as (select x0 + i as px, y0 + j as py from e, unnest(range(0, x1 - x0 + 1)) t(i), unnest(range(0, y1 - y0 + 1)) u(j)),
-g as (select g0.px, g0.py, least(coalesce(n, 0) / 40.0::double, 1) as p from g0 left join c on c.px = g0.px and c.py = g0.py), un as (select px, py, -ln(1 - p + 1e-8) as u0, -ln(p + 1e-8) as u1 from g)"""
+g as (select g0.px, g0.py, least(coalesce(n, 0) / 2.5::double, 1) as p from g0 left join c on c.px = g0.px and c.py = g0.py), un as (select px, py, -ln(1 - p + 1e-8) as u0, -ln(p + 1e-8) as u1 from g)"""
 
 
 def _lbp_step(name: str, before: list[tuple[str, int, int]]) -> str:
@@ -164,24 +192,18 @@ LBP_READ = "".join(f" left join {n} on {n}.px = u.px + {dx} and {n}.py = u.py +
 LBP_SUM = [f"u.u{s} + coalesce(mu.v{s}, 0) + coalesce(md.v{s}, 0) + coalesce(ml.v{s}, 0) + coalesce(mr.v{s}, 0)" for s in (0, 1)]
 
 
-def _density_probability(spark: SparkSession, d: str) -> tuple[DataFrame, raster.Extent]:
-    t = B.transcripts(spark, d).select(F.floor(F.col("px") / 4).cast("int").alias("px"), F.floor(F.col("py") / 4).cast("int").alias("py"))
-    n = t.groupBy("px", "py").agg(F.least(F.count(F.lit(1)) / 40.0, F.lit(1.0)).alias("p"))
-    return n, raster.Extent.of(n)
-
-
 def _pixel_probability(spark: SparkSession, d: str) -> tuple[DataFrame, raster.Extent]:
-    """As above for pixels of a micrometre: 1 from 2.5 molecules, the same density as 40 in 4 x 4."""
+    """Probability of pixels by their molecules: 1 from 2.5 on."""
     n = B.transcripts(spark, d).groupBy("px", "py").agg(F.least(F.count(F.lit(1)) / 2.5, F.lit(1.0)).alias("p"))
     return n, raster.Extent.of(n)
 
 
 @query(
     f"select px, py, round(b0 / case when b0 + b1 = 0 then 1e-8 else b0 + b1 end, 6) + 0.0 as belief, (b0 > b1)::int as label from (select u.px, u.py, {LBP_SUM[0]} as b0, {LBP_SUM[1]} as b1 from un u{LBP_READ})",
-    (TX, COARSE, LBP_GRID, LBP),
+    (TX, PIXELS, LBP_GRID, LBP),
 )
 def model01_belief_one_iteration(spark: SparkSession, d: str) -> DataFrame:
-    p, ex = _density_probability(spark, d)
+    p, ex = _pixel_probability(spark, d)
     return mrf.smooth(p, "p", ex, iterations=1).select("px", "py", (r6("belief") + 0.0).alias("belief"), "label")
 
 
@@ -191,12 +213,6 @@ def model01_belief_propagation(spark: SparkSession, d: str) -> DataFrame:
     return mrf.smooth(p, "p", ex)
 
 
-@query()
-def model01_belief_one_iteration_pixels(spark: SparkSession, d: str) -> DataFrame:
-    p, ex = _pixel_probability(spark, d)
-    return mrf.smooth(p, "p", ex, iterations=1).select("px", "py", (r6("belief") + 0.0).alias("belief"), "label")
-
-
 # expression models -----------------------------------------------------------------------------------
 
 
@@ -236,16 +252,25 @@ def model13_pixel_clusters(spark: SparkSession, d: str) -> DataFrame:
     return M.cluster_scores(clustered, "cluster", ["edge", "energy", "entropy"], ["homogeneity", "uniformity"])
 
 
+#: Genes that a panel may have, each a column of the matrix of cells.
+MOST_GENES = 10_000
+
+
 def _panel(spark: SparkSession, d: str) -> list[str]:
-    """The variable genes of the panel, a fixed list."""
-    return [r["gene"] for r in B.genes(spark, d).where("highly_variable").select("gene").orderBy("gene").limit(500).collect()]
+    """The variable genes of the panel; a panel is bounded, and a longer list is an error."""
+    names = [r["gene"] for r in B.genes(spark, d).where("highly_variable").select("gene").distinct().orderBy("gene").limit(MOST_GENES + 1).collect()]
+    if len(names) > MOST_GENES:
+        raise ValueError(f"more than {MOST_GENES} variable genes")
+    return names
 
 
 @query()
 def model26_components(spark: SparkSession, d: str) -> DataFrame:
     """Explained and cumulative variance of the expression's principal components."""
     e = M.normalise(B.expression(B.transcripts(spark, d)))
-    _, explained = M.principal_components(materialize(M.gene_vectors(e, B.cells(spark, d), _panel(spark, d)), "vectors"), 30)
+    panel = _panel(spark, d)
+    v = materialize(M.gene_vectors(e, B.cells(spark, d), panel), "vectors")
+    _, explained = M.principal_components(v, min(len(panel), 100 if v.count() >= 100 else 10))
     rows = [(i + 1, v, sum(explained[: i + 1])) for i, v in enumerate(explained)]
     return spark.createDataFrame(rows, "pc int, explained double, cumulative double")
 
@@ -255,7 +280,8 @@ def model28_cluster_search(spark: SparkSession, d: str) -> DataFrame:
     e = M.normalise(B.expression(B.transcripts(spark, d)))
     pcs, _ = M.principal_components(materialize(M.gene_vectors(e, B.cells(spark, d), _panel(spark, d)), "vectors"), 10)
     v = materialize(pcs.select("cell_id", *[F.get("pcs", F.lit(i)).alias(f"p{i}") for i in range(10)]), "pcs")
-    return M.resolution_search(M.assemble(v, [f"p{i}" for i in range(10)], ["cell_id"]), [6, 9, 12], [1, 2], 9)
+    target = B.cells(spark, d).agg(F.count_distinct("celltype")).first()[0] + 3
+    return M.resolution_search(M.assemble(v, [f"p{i}" for i in range(10)], ["cell_id"]), [max(2, target - 3), target, target + 3], [1, 2, 3, 4, 5], target)
 
 
 @query()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +14,9 @@ from histolith.sources import bundle as B
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-#: Molecules are binned to pixels of this many micrometres in queries whose SQL a window of 25 pixels would be too much for; the queries ..._pixels are not.
-COARSE = 4
-
 COUNTS = "c as (select px, py, count(*) as n from tx group by px, py)"
 EXTENT = "e as (select min(px) as x0, max(px) as x1, min(py) as y0, max(py) as y1 from c)"
 GRID = "g as (select x0 + i as px, y0 + j as py from e, unnest(range(0, x1 - x0 + 1)) t(i), unnest(range(0, y1 - y0 + 1)) u(j))"
-COARSE_COUNTS = f"c as (select px // {COARSE} as px, py // {COARSE} as py, count(*) as n from tx group by 1, 2)"
 DENSE = "d as (select g.px, g.py, coalesce(n, 0) as v from g left join c on c.px = g.px and c.py = g.py)"
 
 
@@ -56,12 +49,6 @@ def counts(spark: SparkSession, d: str) -> tuple[DataFrame, R.Extent]:
     return n, R.Extent.of(n)
 
 
-def coarse(spark: SparkSession, d: str) -> tuple[DataFrame, R.Extent]:
-    t = B.transcripts(spark, d).select(F.floor(F.col("px") / COARSE).cast("int").alias("px"), F.floor(F.col("py") / COARSE).cast("int").alias("py"))
-    n = t.groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"))
-    return n, R.Extent.of(n)
-
-
 @query("select px, py, v as n from d", (TX, COUNTS, EXTENT, GRID, DENSE))
 def join06_dense_grid(spark: SparkSession, d: str) -> DataFrame:
     n, ex = counts(spark, d)
@@ -109,19 +96,19 @@ GAUSS = "k as (select dx, dy, exp(-0.5 * (dx * dx + dy * dy)) / (select pow(sum(
 
 @query(
     "select w.px, w.py, round(log10(sum(wt * v * v) + 1), 6) as energy from w join k using (dx, dy) group by 1, 2",
-    (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(5, False), reflected(True), GAUSS),
+    (TX, COUNTS, EXTENT, GRID, DENSE, offsets(5, False), reflected(True), GAUSS),
 )
-def img04_energy(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
-    n, ex = pixels(spark, d)
+def img04_energy(spark: SparkSession, d: str) -> DataFrame:
+    n, ex = counts(spark, d)
     return R.pixel_metric(n, "n", ex, "energy").select("px", "py", F.round("energy", 6).alias("energy"))
 
 
 @query(
     """select px, py, round(log10(sqrt(gx * gx + gy * gy) + 1), 6) as edge from (select px, py, sum(v * dx * (2 - abs(dy))) as gx, sum(v * dy * (2 - abs(dx))) as gy from w group by 1, 2)""",
-    (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(1, False), reflected()),
+    (TX, COUNTS, EXTENT, GRID, DENSE, offsets(1, False), reflected()),
 )
-def img05_edge_strength(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
-    n, ex = pixels(spark, d)
+def img05_edge_strength(spark: SparkSession, d: str) -> DataFrame:
+    n, ex = counts(spark, d)
     return R.pixel_metric(n, "n", ex, "edge").select("px", "py", F.round("edge", 6).alias("edge"))
 
 
@@ -130,32 +117,32 @@ OTSU = """h as (select b as gv, count(*) as n from bl group by 1), p as (select
 t as (select gv as threshold from p order by coalesce(w0 * (w - w0) * pow(s0 / w0 - (s - s0) / nullif(w - w0, 0), 2), 0) desc, gv limit 1)"""
 
 
-@query("select px, py, case when b > threshold then 1 else 0 end as relevance from bl, t", (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected(), BLUR, OTSU))
-def img06_relevance(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+@query("select px, py, case when b > threshold then 1 else 0 end as relevance from bl, t", (TX, COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected(), BLUR, OTSU))
+def img06_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Blurred counts above the Otsu threshold."""
     from histolith.session import materialize
 
-    n, ex = pixels(spark, d)
+    n, ex = counts(spark, d)
     b = materialize(R.pixel_metric(n, "n", ex, "blur"), "blur")
     return T.one_row(b, R.otsu_threshold(b, "blur")).select("px", "py", (F.col("blur") > F.col("threshold")).cast("int").alias("relevance"))
 
 
 @query(
     """select px, py, round(-sum(p * ln(p)), 6) + 0.0 as entropy, round(ln(25) + sum(p * ln(p)), 6) as uniformity from (select px, py, v, count(*) / 25.0::double as p from w group by 1, 2, 3) group by 1, 2""",
-    (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected()),
+    (TX, COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected()),
 )
-def img07_entropy_uniformity(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
-    n, ex = pixels(spark, d)
+def img07_entropy_uniformity(spark: SparkSession, d: str) -> DataFrame:
+    n, ex = counts(spark, d)
     t = R.pixel_metric(n, "n", ex, "texture")
     return t.select("px", "py", (F.round("entropy", 6) + 0.0).alias("entropy"), F.round("uniformity", 6).alias("uniformity"))
 
 
 @query(
     """select w.px, w.py, round(avg(1.0 / (1 + abs(w.v - d.v))), 6) as homogeneity from w join d on d.px = w.px and d.py = w.py where not (dx = 0 and dy = 0) group by 1, 2""",
-    (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected()),
+    (TX, COUNTS, EXTENT, GRID, DENSE, offsets(2, False), reflected()),
 )
-def img08_homogeneity(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
-    n, ex = pixels(spark, d)
+def img08_homogeneity(spark: SparkSession, d: str) -> DataFrame:
+    n, ex = counts(spark, d)
     return R.pixel_metric(n, "n", ex, "texture").select("px", "py", F.round("homogeneity", 6).alias("homogeneity"))
 
 
@@ -168,13 +155,13 @@ def img10_local_binary_pattern(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "select px, py, round(log2((v + 1) / (select midpoint from m)), 6) as snr from d",
     (
-        TX, COARSE_COUNTS, EXTENT, GRID, DENSE,
+        TX, COUNTS, EXTENT, GRID, DENSE,
         """m as (select round_even(lo + (bin + 0.5) * (hi - lo) / 100, 3) as midpoint from (select bin, count(*) as n, any_value(lo) as lo, any_value(hi) as hi from (
         select least(floor((v - lo) / (hi - lo)::double * 100), 99)::int as bin, lo, hi from d, (select min(v) as lo, max(v) as hi from d)) group by bin) order by n desc, bin limit 1)""",
     ),
 )
-def img11_intensity_snr(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
-    n, ex = pixels(spark, d)
+def img11_intensity_snr(spark: SparkSession, d: str) -> DataFrame:
+    n, ex = counts(spark, d)
     v = R.dense_grid(n, "n", ex)
     return T.one_row(v, T.mode_midpoint(v, "n")).select("px", "py", F.round(F.log2((F.col("n") + 1) / F.col("midpoint")), 6).alias("snr"))
 
@@ -186,19 +173,19 @@ def _spread(a: np.ndarray) -> dict[str, np.ndarray]:
 
 @query(
     "select px, py, (max(v) - min(v))::double as spread from w group by 1, 2",
-    (TX, COARSE_COUNTS, EXTENT, GRID, DENSE, offsets(1, False), reflected()),
+    (TX, COUNTS, EXTENT, GRID, DENSE, offsets(1, False), reflected()),
 )
-def img12_custom_window(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+def img12_custom_window(spark: SparkSession, d: str) -> DataFrame:
     """A window function registered by the user."""
     R.register_window("spread", _spread, ["spread"], 1)
-    n, ex = pixels(spark, d)
+    n, ex = counts(spark, d)
     return R.pixel_metric(n, "n", ex, "spread")
 
 
 @query(
     """select round(-regr_slope(ln(boxes), ln(k)), 6) as dimension from (select k, count(*) as boxes from (select distinct k, x // k as bx, y // k as by_ from (
     select px - x0 as x, py - y0 as y, side from c, e, s where px - x0 < side and py - y0 < side), s2) group by k)""",
-    (TX, COUNTS, EXTENT, "s as (select pow(2, floor(log2(least(x1 - x0 + 1, y1 - y0 + 1))))::bigint as side from e)", "s2 as (select unnest([pow(2, i)::bigint for i in range(0, log2(side)::bigint)]) as k from s)"),
+    (TX, COUNTS, EXTENT, "s as (select pow(2, floor(log2(least(x1 - x0 + 1, y1 - y0 + 1))))::bigint as side from e)", "s2 as (select unnest([pow(2, i)::bigint for i in range(2, log2(side)::bigint + 1)]) as k from s)"),
 )
 def img13_fractal_dimension(spark: SparkSession, d: str) -> DataFrame:
     n, ex = counts(spark, d)
@@ -217,25 +204,20 @@ def img14_dilation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "select g.px, g.py, round(coalesce(s, 0), 6) as density from g left join (select px + dx as px, py + dy as py, sum(n * wt) as s from c, k group by 1, 2) using (px, py)",
-    (TX, COARSE_COUNTS, EXTENT, GRID, offsets(5, False), GAUSS),
+    (TX, COUNTS, EXTENT, GRID, offsets(5, False), GAUSS),
 )
-def agg38_density_estimate(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+def agg38_density_estimate(spark: SparkSession, d: str) -> DataFrame:
     """Two-dimensional histogram of the molecules, smoothed by a Gaussian."""
-    n, ex = pixels(spark, d)
+    n, ex = counts(spark, d)
     return R.stencil(n, "n", ex, R.gaussian(1.0, 5), target="s").select("px", "py", F.round("s", 6).alias("density"))
 
 
 @query(
     "select g.px, g.py, coalesce(s, 0)::bigint as box_sum from g left join (select px + dx as px, py + dy as py, sum(n) as s from c, o group by 1, 2) using (px, py)",
-    (TX, COARSE_COUNTS, EXTENT, GRID, offsets(2, False)),
+    (TX, COUNTS, EXTENT, GRID, offsets(2, False)),
 )
-def agg39_box_sum(spark: SparkSession, d: str, pixels: Callable = coarse) -> DataFrame:
+def agg39_box_sum(spark: SparkSession, d: str) -> DataFrame:
     """Molecules in the square window around every pixel."""
-    n, ex = pixels(spark, d)
+    n, ex = counts(spark, d)
     box = {(i, j): 1.0 for i in range(-2, 3) for j in range(-2, 3)}
     return R.stencil(n, "n", ex, box, target="s").select("px", "py", F.col("s").cast("long").alias("box_sum"))
-
-
-#: The same over every pixel of a micrometre, without SQL as that would be too slow on large sections.
-for _fn in (img04_energy, img05_edge_strength, img06_relevance, img07_entropy_uniformity, img08_homogeneity, img11_intensity_snr, img12_custom_window, agg38_density_estimate, agg39_box_sum):
-    QUERIES[f"{_fn.__name__}_pixels"] = partial(_fn, pixels=counts)

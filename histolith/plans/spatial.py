@@ -143,16 +143,6 @@ def geom04_repaired(spark: SparkSession, d: str) -> DataFrame:
     return fixed.select("cell_id", "valid", r6(F.when(F.col("ring").isNotNull(), G.area(F.col("ring")))).alias("area"))
 
 
-@query(
-    """select cell_id, i - 1 as i, px, py from (select cell_id, row_number() over (partition by cell_id order by i) as i, px, py from (select cell_id, i, trunc(ax)::int - 99 as px, trunc(ay)::int - 99 as py from edges)
-    where px between 0 and 299 and py between 0 and 299)""",
-    (RINGS, EDGES),
-)
-def geom05_snapped_rings(spark: SparkSession, d: str) -> DataFrame:
-    r = B.rings(spark, d).select("cell_id", F.posexplode(G.snap_to_pixels(F.col("ring"), 100, 100, 300, 300)).alias("i", "v"))
-    return r.select("cell_id", F.col("i").cast("long").alias("i"), F.col("v.x").alias("px"), F.col("v.y").alias("py"))
-
-
 @query(
     """select cell_id, i - 1 as i, trunc(ax)::int - x0 + 1 as px, trunc(ay)::int - y0 + 1 as py from edges, ext""",
     (RINGS, EDGES, TX, """ext as (select min(px) as x0, min(py) as y0 from (select px, py from tx union all select trunc(ax)::int, trunc(ay)::int from edges))"""),

@@ -228,3 +228,24 @@ def test_section_rings_keep_all_vertices(spark, data):
     got = QUERIES["geom05_section_rings"](spark, data)
     low = got.agg(F.count(F.lit(1)), F.min("px"), F.min("py")).first()
     assert low[0] == vertices and low[1] >= 1 and low[2] >= 1
+
+
+def test_celltype_bounds_take_the_branch_of_the_class_sizes(spark):
+    """Median and MAD by hand: clean 10 -+ 2, doublets 30 -+ 4, nucleus-free 2 -+ 1."""
+    clean, double, free = [8, 10, 12], [26, 30, 34], [1, 2, 3]
+
+    def rows(kind, n_double, n_free, n_clean=3):
+        many = lambda v, n: [v[i % 3] for i in range(n)]
+        return [(kind, "none", float(v)) for v in many(clean, n_clean)] + [(kind, "doublet", float(v)) for v in many(double, n_double)] + [(kind, "nucleus_free", float(v)) for v in many(free, n_free)]
+
+    table = rows("both", 6, 6) + rows("right", 6, 0) + rows("left", 0, 6) + rows("few", 3, 6) + rows("none", 6, 6, 0) + [(None, "none", 1.0)]
+    b = priors.celltype_bounds(spark.createDataFrame(table, "celltype string, artefact string, v double"), ["v"], enough=5)
+    assert {r.celltype: (r.low, r.high) for r in b.collect()} == {"both": (3.0, 26.0), "right": (8.0, 26.0), "left": (3.0, 12.0), "few": (8.0, 12.0), "none": (0.0, 0.0)}
+
+
+def test_long_edges_are_those_of_two_triangles(spark):
+    """The quantile leaves the hull out: of two triangles over a long hull the one shared edge is the limit."""
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    t = [(1, 2, 3, ring((0, 0), (2, 0), (0, 90)), 90.0), (1, 2, 4, ring((0, 0), (2, 0), (0, -90)), 90.0)]
+    v = delaunay.void_clusters(spark.createDataFrame(t, "a int, b int, c int, ring array<struct<x:double,y:double>>, longest double"), least=2)
+    assert [(r.n_triangles, r.cluster != -1) for r in v.collect()] == [(2, True), (2, True)]
