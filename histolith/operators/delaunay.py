@@ -2,8 +2,9 @@
 
 A triangle is Delaunay where its circumcircle is empty, which only depends on points nearby. Tiles are triangulated
 with a halo; a triangle is kept by the tile that holds the centre of its circumcircle, if the circle
-reaches no farther than the halo. So every triangle is found once, whatever the tiles. Triangles with a greater
-circle, slivers along the hull and across empty regions wider than twice the halo, are left out by definition.
+reaches no farther than the halo. So every triangle is found once, whatever the tiles. What is then
+uncovered, wide gaps and the rim of the section, has its corners among the points at edges of one triangle only: these
+points are triangulated again with a halo four times as wide, and so on, until one tile holds what is left.
 """
 
 from __future__ import annotations
@@ -73,18 +74,19 @@ def triangulate(points: np.ndarray) -> np.ndarray:
     return kept[(kept < n).all(1)]
 
 
-def delaunay(cells: DataFrame, *, key: str = "cell_id", halo: float = 100.0, tile: float = 400.0) -> DataFrame:
-    """a < b < c (keys), ring, longest: triangles whose circumcircle has a radius of at most ``halo``.
+#: Points at the rim of what is covered that one task triangulates; more of them go through wider tiles first.
+RIM_POINTS = 10_000
 
-    Cells at one position count as the one of least key; null or non-finite positions take no part.
-    """
-    ship_package(cells.sparkSession)
-    kind = cells.schema[key].dataType.simpleString()
-    p = cells.select(F.col(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).where(finite(F.col("_x"), F.col("_y")))
-    p = p.groupBy("_x", "_y").agg(F.min("_k").alias("_k"))
-    # A circle around a centre in the tile reaches `halo` beyond it, and so do the points that could lie in it.
-    reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int"))
-    spread = p.withColumn("_ti", F.explode(reach("_x"))).withColumn("_tj", F.explode(reach("_y")))
+
+def _tiled(points: DataFrame, halo: float | None, tile: float) -> DataFrame:
+    """a < b < c (keys), ring, longest of the triangles of ``_k``, ``_x``, ``_y`` with a circle up to ``halo``; with None all, in one tile."""
+    kind = points.schema["_k"].dataType.simpleString()
+    if halo is None:
+        spread = points.withColumn("_ti", F.lit(0)).withColumn("_tj", F.lit(0))
+    else:
+        # A circle around a centre in the tile reaches `halo` beyond it, and so do the points that could lie in it.
+        reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int"))
+        spread = points.withColumn("_ti", F.explode(reach("_x"))).withColumn("_tj", F.explode(reach("_y")))
 
     def run(tile_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")
@@ -92,22 +94,57 @@ def delaunay(cells: DataFrame, *, key: str = "cell_id", halo: float = 100.0, til
         tri = triangulate(pts)
         if len(tri):
             centre, r2 = circumcircles(pts, tri)
-            own = (np.floor(centre / tile) == np.array(tile_key, float)).all(1) & (r2 <= halo * halo)
-            tri = tri[own]
-        names = np.sort(ids[tri], axis=1) if len(tri) else np.zeros((0, 3), ids.dtype)
-        at = {k: i for i, k in enumerate(ids)}
-        rings = [[{"x": float(pts[at[k]][0]), "y": float(pts[at[k]][1])} for k in row] for row in names]
-        length = [max(float(np.hypot(*(pts[at[r[i]]] - pts[at[r[j]]]))) for i, j in ((0, 1), (1, 2), (0, 2))) for r in names]
-        return pd.DataFrame({"a": names[:, 0], "b": names[:, 1], "c": names[:, 2], "ring": pd.Series(rings, dtype=object), "longest": pd.Series(length, dtype=float)})
+            tri = tri[np.isfinite(r2) if halo is None else (np.floor(centre / tile) == np.array(tile_key, float)).all(1) & (r2 <= halo * halo)]
+        tri = np.sort(tri, axis=1)  # points come in the order of their keys
+        corners = pts[tri]
+        length = np.sqrt(((corners - np.roll(corners, 1, axis=1)) ** 2).sum(2)).max(1) if len(tri) else np.zeros(0)
+        rings = [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in corners]
+        return pd.DataFrame({"a": ids[tri[:, 0]], "b": ids[tri[:, 1]], "c": ids[tri[:, 2]], "ring": pd.Series(rings, dtype=object), "longest": pd.Series(length, dtype=float)})
 
     schema = f"a {kind}, b {kind}, c {kind}, ring array<struct<x:double,y:double>>, longest double"
     return spread.groupBy("_ti", "_tj").applyInPandas(run, schema)
 
 
+def _sides(triangles: DataFrame) -> DataFrame:
+    pair = lambda s, d: F.struct(F.col(s).alias("s"), F.col(d).alias("d"))
+    return triangles.select(F.explode(F.array(pair("a", "b"), pair("b", "c"), pair("a", "c"))).alias("_e")).select("_e.s", "_e.d")
+
+
+def delaunay(cells: DataFrame, *, key: str = "cell_id", halo: float = 100.0, tile: float = 400.0, rim_points: int = RIM_POINTS) -> DataFrame:
+    """a < b < c (keys), ring, longest: the Delaunay triangles of all cells.
+
+    Cells at one position count as the one of least key; null or non-finite positions take no part. Slivers along the
+    hull whose circle is wider than about thirty times the section are left out. The last of the rounds over the rim
+    takes one task, with at most ``rim_points`` points or those of a tile as wide as the section.
+    """
+    ship_package(cells.sparkSession)
+    p = cells.select(F.col(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).where(finite(F.col("_x"), F.col("_y")))
+    p = materialize(p.groupBy("_x", "_y").agg(F.min("_k").alias("_k")), "centres")
+    box = p.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    size = 0.0 if box[0] is None else max(box[1] - box[0], box[3] - box[2])
+    found = materialize(_tiled(p, halo, tile), "triangles")
+    new, rim, loose = found, None, p
+    while True:
+        sides = _sides(new) if rim is None else _sides(new).unionByName(rim)
+        rim = materialize(sides.groupBy("s", "d").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).select("s", "d"), "rim")
+        loose = materialize(loose.join(new.select(F.explode(F.array("a", "b", "c")).alias("_k")).distinct(), "_k", "left_anti"), "loose")
+        ends = rim.select(F.explode(F.array("s", "d")).alias("_k")).distinct()
+        points = materialize(p.join(ends.unionByName(loose.select("_k")), "_k"), "rim-points")
+        halo, tile = 4 * halo, 4 * tile
+        last = points.count() <= rim_points or halo >= size
+        # Edges of triangles found are edges of the rim's own triangulation, so each of its triangles lies within what is covered or outside of it.
+        more = materialize(_tiled(points, None if last else halo, tile).withColumn("tid", F.monotonically_increasing_id()), "more")
+        middle = lambda c: (F.get("ring", F.lit(0))[c] + F.get("ring", F.lit(1))[c] + F.get("ring", F.lit(2))[c]) / 3
+        covered = points_in_rings(more.select("tid", middle("x").alias("x"), middle("y").alias("y")), found.withColumn("_t", F.concat_ws("-", "a", "b", "c")), point_key="tid", ring_key="_t")
+        new = materialize(more.join(covered.select("tid").distinct(), "tid", "left_anti").drop("tid"), "triangles")
+        found = materialize(found.unionByName(new), "triangles")
+        if last:
+            return found
+
+
 def triangle_edges(triangles: DataFrame) -> DataFrame:
     """src, dst in both directions, each pair of joined cells once."""
-    sides = F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("d")), F.struct(F.col("b").alias("s"), F.col("c").alias("d")), F.struct(F.col("a").alias("s"), F.col("c").alias("d"))))
-    e = triangles.select(sides.alias("_e")).select("_e.s", "_e.d").distinct()
+    e = _sides(triangles).distinct()
     return e.select(F.col("s").alias("src"), F.col("d").alias("dst")).unionByName(e.select(F.col("d").alias("src"), F.col("s").alias("dst")))
 
 

@@ -152,9 +152,24 @@ def test_triangles(spark):
     tri = delaunay.triangulate(pts)
     centre, r2 = delaunay.circumcircles(pts, tri)
     assert not (((pts[None] - centre[:, None]) ** 2).sum(-1) < r2[:, None] * (1 - 1e-9)).any()
-    want = {tuple(sorted(t)) for t in tri[r2 <= 40.0**2].tolist()}
-    got = {(r.a, r.b, r.c) for r in delaunay.delaunay(cells, halo=40.0, tile=70.0).collect()}
-    assert got == want
+    want = {tuple(sorted(t)) for t in tri.tolist()}
+    got = [(r.a, r.b, r.c) for r in delaunay.delaunay(cells, halo=40.0, tile=70.0).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_triangles_across_voids_wider_than_the_halo(spark):
+    """A ring of cells around an empty middle and a far outlier: the same triangles as of all points at once, in several rounds."""
+    rng = np.random.default_rng(8)
+    pts = rng.random((600, 2)) * 400
+    pts = np.vstack([pts[((pts - 200) ** 2).sum(1) > 120.0**2], [[900.0, 650.0]]])
+    cells = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "cell_id long, x double, y double")
+    want = {tuple(sorted(t)) for t in delaunay.triangulate(pts).tolist()}
+    for rim_points in (10, 10_000):
+        rows = delaunay.delaunay(cells, halo=25.0, tile=60.0, rim_points=rim_points).collect()
+        assert {(r.a, r.b, r.c) for r in rows} == want and len(rows) == len(want)
+    assert max(r.longest for r in rows) > 500
+    few = spark.createDataFrame([(1, 0.0, 0.0), (2, 900.0, 0.0)], "cell_id long, x double, y double")
+    assert delaunay.delaunay(few).count() == 0 and delaunay.delaunay(few.limit(0)).count() == 0
 
 
 def test_thirds(spark):
