@@ -37,6 +37,18 @@ def combine(df: DataFrame, priors: list[str], target: str) -> DataFrame:
     return T.min_max(df.withColumn("_sum", total), "_sum", target).drop("_sum")
 
 
+def molecule_priors(structure: DataFrame, quality: DataFrame, ambient: DataFrame) -> DataFrame:
+    """px, py, the three priors p_structure, p_quality, p_ambient, and their scaled sum ``p``, of every pixel.
+
+    ``structure`` holds p_structure, ``quality`` the density of quality values (qv_density), ``ambient`` that of spatial
+    patterns (ac_density); the latter two turn to probabilities above 20 and 0.4.
+    """
+    q = tail_prior(quality.select("px", "py", "qv_density"), "qv_density", "p_quality", threshold=20.0, sd=3.0)
+    a = tail_prior(ambient.select("px", "py", "ac_density"), "ac_density", "p_ambient", threshold=0.4, sd=1.0)
+    joined = structure.select("px", "py", "p_structure").join(q, ["px", "py"]).join(a, ["px", "py"])
+    return combine(joined, ["p_structure", "p_quality", "p_ambient"], "p").select("px", "py", "p_structure", "p_quality", "p_ambient", "p")
+
+
 def bad_cluster_flags(cells: DataFrame, cluster: str, value: str, *, least_mean: float = 1.0) -> DataFrame:
     """cells with ``bad``: 1 in the level (low, mid, high thirds of clusters) of least mean, or below ``least_mean`` where that level's mean is above it."""
     means = cells.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.avg(value).alias("_m"))

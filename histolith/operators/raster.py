@@ -287,6 +287,19 @@ def otsu_threshold(pixels: DataFrame, value: str) -> DataFrame:
     return h.agg(F.max_by("g", F.struct("between", -F.col("g"))).alias("threshold"))
 
 
+def quality_density(molecules: DataFrame, extent: Extent, radius: int = 3) -> DataFrame:
+    """px, py, qv_density: sum over a disk of the mean quality of each pixel's molecules."""
+    q = molecules.where(F.col("qv").isNotNull()).groupBy("px", "py").agg(F.avg("qv").alias("_q"))
+    return stencil(q, "_q", extent, disk(radius), target="qv_density")
+
+
+def ambient_density(molecules: DataFrame, scores: tuple[str, str], extent: Extent, radius: int = 3) -> DataFrame:
+    """px, py, ac_density: product of the disk sums of each pixel's greatest values of two scores, null counting as 0."""
+    m = molecules.groupBy("px", "py").agg(*[F.max(F.coalesce(s, F.lit(0.0))).alias(f"_s{i}") for i, s in enumerate(scores)])
+    both = stencil(m, "_s0", extent, disk(radius), target="_a").join(stencil(m, "_s1", extent, disk(radius), target="_b"), ["px", "py"])
+    return both.select("px", "py", (F.col("_a") * F.col("_b")).alias("ac_density"))
+
+
 def box_counting_dimension(pixels: DataFrame, extent: Extent) -> DataFrame:
     """One row ``dimension``: minus the slope of log(boxes) over log(box size) of the occupied pixels.
 

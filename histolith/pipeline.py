@@ -7,7 +7,7 @@ stores in a ``MetricStore``. ``python -m histolith.pipeline IN OUT STEP...`` wri
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,13 @@ class Section:
 
     spark: SparkSession
     path: str
+    results: dict = field(default_factory=dict)
+
+    def result(self, step: str) -> DataFrame | dict[str, DataFrame]:
+        """What a step gives, worked out once."""
+        if step not in self.results:
+            self.results[step] = STEPS[step](self)
+        return self.results[step]
 
     @cached_property
     def molecules(self) -> DataFrame:
@@ -143,8 +150,8 @@ def to_cells(owned: DataFrame, pixels: DataFrame) -> DataFrame:
     return out.withColumn("filtered_out", F.col("belief") < BELIEF_LIMIT)
 
 
-def texture_layer(s: Section, pixels: DataFrame, value: str, clusters: int = 100) -> dict[str, DataFrame]:
-    """Beliefs of a picture: texture metrics, clusters of pixels, prior of each cluster, smoothing, dense regions."""
+def texture_prior(s: Section, pixels: DataFrame, value: str, clusters: int = 100) -> dict[str, DataFrame]:
+    """Structure of a picture: texture metrics, clusters of pixels and their scores, and the prior p_structure of each pixel."""
     ex = s.extent
     metric = lambda name: raster.pixel_metric(pixels, value, ex, name)
     m = materialize(metric("texture").join(metric("energy"), ["px", "py"]).join(metric("edge"), ["px", "py"]).join(metric("blur"), ["px", "py"]), "textures")
@@ -153,22 +160,34 @@ def texture_layer(s: Section, pixels: DataFrame, value: str, clusters: int = 100
     clustered = materialize(M.kmeans(M.assemble(m, features, ["px", "py", *features]), clusters, ["px", "py", *features]), "pixel-clusters")
     scores = M.cluster_scores(clustered, "cluster", ["edge", "energy", "relevance", "entropy"], ["homogeneity", "uniformity"])
     prior = priors.pixel_prior(scores, "cluster_score", "p_informative")
-    probability = T.min_max(clustered.select("px", "py", "cluster").join(F.broadcast(prior.select("cluster", "p_informative")), "cluster"), "p_informative", "p")
-    smoothed = materialize(mrf.smooth(probability, "p", ex), "layer")
+    # One row per cluster of pixels, of which there are `clusters`.
+    probability = T.min_max(clustered.select("px", "py", "cluster").join(F.broadcast(prior.select("cluster", "p_informative")), "cluster"), "p_informative", "p_structure")
+    return {"metrics": m, "clusters": scores, "prior": materialize(probability.select("px", "py", "p_structure"), "structure")}
+
+
+def smoothed_layer(s: Section, probability: DataFrame) -> dict[str, DataFrame]:
+    """Beliefs of pixels after belief propagation, and the boxes around their connected regions."""
+    smoothed = materialize(mrf.smooth(probability, "p", s.extent), "layer")
     found = regions.connected_regions(smoothed.where(F.col("label") == 1).select("px", "py"))
-    return {"metrics": m, "clusters": scores, "pixels": smoothed, "boxes": regions.bounding_boxes(found)}
+    return {"pixels": smoothed, "boxes": regions.bounding_boxes(found)}
 
 
 def hqtr(s: Section, clusters: int = 100) -> dict[str, DataFrame]:
-    """Beliefs of the molecule layer, from the density picture of the molecules."""
+    """Beliefs of the molecule layer: structure of the density picture, quality of the molecules, and what is not ambient."""
     n = s.molecules.groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"))
     density = materialize(raster.stencil(n, "n", s.extent, raster.disk(3), target="v"), "density")
-    return texture_layer(s, density, "v", clusters)
+    structure = texture_prior(s, density, "v", clusters)
+    scored = s.molecules.join(ambient(s).select("gene", "morans_i"), "gene", "left").join(local_ambient(s), "transcript_id", "left")
+    scored = materialize(scored.select("px", "py", "qv", "morans_i", "score"), "scored-molecules")
+    prior = priors.molecule_priors(structure.pop("prior"), raster.quality_density(scored, s.extent), raster.ambient_density(scored, ("morans_i", "score"), s.extent))
+    prior = materialize(prior, "molecule-prior")
+    return {**structure, "priors": prior, **smoothed_layer(s, prior.select("px", "py", "p"))}
 
 
-def hqpr(s: Section, stain: DataFrame, clusters: int = 100) -> dict[str, DataFrame]:
-    """Beliefs of the image layer, from the pixels (px, py, v) of one stain channel."""
-    return texture_layer(s, stain, "v", clusters)
+def hqpr(s: Section, stain: DataFrame | None = None, clusters: int = 100) -> dict[str, DataFrame]:
+    """Beliefs of the image layer, from the pixels (px, py, v) of one stain channel, by default the table ``stain`` of the bundle."""
+    structure = texture_prior(s, table(s.spark, s.path, "stain") if stain is None else stain, "v", clusters)
+    return {**structure, **smoothed_layer(s, structure.pop("prior").select("px", "py", F.col("p_structure").alias("p")))}
 
 
 def ambient(s: Section) -> DataFrame:
@@ -213,9 +232,27 @@ def summary(s: Section, metrics: list[DataFrame]) -> DataFrame:
     return c.groupBy("leiden").agg(*[F.median(n).alias(n) for n in numbers])
 
 
+def combined(s: Section) -> dict[str, DataFrame]:
+    """Layers of cells, cells within their types and molecules combined, and for each cell the layers that leave it out."""
+    cell, refined, molecule = (s.result(n) for n in ("hqcr_ident", "hqcr_celltype", "hqtr"))
+    layers = {"hqcr": cell["hqcr_pixels"], "refined": refined["hqcr_pixels"], "hqtr": molecule["pixels"]}
+    owned = materialize(raster.rasterise(spread(s.rings), ["cell_id"]), "owned-pixels")
+    kept = s.cells.select("cell_id")
+    for name, pixels in layers.items():
+        kept = kept.join(to_cells(owned, pixels).select("cell_id", F.col("belief").alias(f"{name}_belief"), F.col("filtered_out").alias(f"{name}_filtered_out")), "cell_id", "left")
+    out = [F.coalesce(F.col(f"{name}_filtered_out"), F.lit(False)) for name in layers]
+    return {**combine(layers), "cells": kept.withColumn("filtered", out[0] | out[1] | out[2])}
+
+
+def summarised(s: Section) -> DataFrame:
+    """Medians per cluster of the metrics of the cell steps."""
+    return summary(s, [s.result("generalqc"), s.result("bubbleqc").drop("_q"), s.result("doubletqc"), s.result("cellqc")])
+
+
 STEPS = {
     "annotation": annotate, "generalqc": general_qc, "bubbleqc": bubble, "doubletqc": doublets, "doublet_molecules": doublet_molecules, "voidqc": voids, "cellqc": cell_qc,
     "hqcr_ident": hqcr, "hqcr_celltype": lambda s: hqcr(s, True), "hqtr": hqtr, "ambientqc": ambient, "local_ambient": local_ambient, "transcriptqc": molecule_qc,
+    "combine": combined, "summary": summarised,
 }
 
 
@@ -228,7 +265,7 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("histolith").getOrCreate()
     section, store = Section(spark, a.source), MetricStore(spark, a.target)
     for name in STEPS if "all" in a.steps else a.steps:
-        made = STEPS[name](section)
+        made = section.result(name)
         for part, df in made.items() if isinstance(made, dict) else [(name, made)]:
             store.write(f"{name}/{part}" if isinstance(made, dict) else name, df)
 

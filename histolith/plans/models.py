@@ -92,15 +92,31 @@ def cell_prior(spark: SparkSession, d: str) -> DataFrame:
     return priors.combine(good.join(_doublet_prior(spark, d), "cell_id"), ["p_good", "p_doublet"], "good_quality")
 
 
+PIXELS = "c as (select px, py, count(*) as n from tx group by 1, 2), e as (select min(px) as x0, max(px) as x1, min(py) as y0, max(py) as y1 from c)"
+LBP_GRID = """g0 as (select x0 + i as px, y0 + j as py from e, unnest(range(0, x1 - x0 + 1)) t(i), unnest(range(0, y1 - y0 + 1)) u(j)),
+g as (select g0.px, g0.py, least(coalesce(n, 0) / 2.5::double, 1) as p from g0 left join c on c.px = g0.px and c.py = g0.py), un as (select px, py, -ln(1 - p + 1e-8) as u0, -ln(p + 1e-8) as u1 from g)"""
+TAIL = "1 - case when {x} < {t} then 1 else exp(-0.5 * pow(({x} - {t}) / {s}, 2)) / ({s} * sqrt(2 * pi())) end"
+DISK = """o as (select i as dx, j as dy from unnest(range(-3, 4)) t(i), unnest(range(-3, 4)) u(j) where i * i + j * j <= 9),
+qv as (select px + dx as px, py + dy as py, sum(q) as s from (select px, py, avg(qv) as q from tx where qv is not null group by 1, 2), o group by 1, 2),
+ac as (select px + dx as px, py + dy as py, sum(m) as a, sum(k) as b from (select px, py, max(coalesce(morans_i, 0)) as m, max(case when highly_variable then 1.0 when not highly_variable then 0.5 else 0 end) as k
+from tx left join gene_panel using (gene) group by 1, 2), o group by 1, 2)"""
+
+
 @query(
     f"""select px, py, round(s, 6) as belief, (s > 0.5)::int as mask from (select px, py, {SCALE.format(x='a + b + c')} as s from (
-    select px, py, count(*) / 10.0::double as a, max(coalesce(morans_i, 0)) as b, max(coalesce(overlaps_nucleus, 0)) as c from tx left join gene_panel using (gene) group by 1, 2))""",
-    (TX,),
+    select px, py, p as a, {SCALE.format(x='q')} as b, {SCALE.format(x='r')} as c from (select g.px, g.py, g.p, {TAIL.format(x='coalesce(qv.s, 0)', t=20.0, s=3.0)} as q, {TAIL.format(x='coalesce(ac.a * ac.b, 0)', t=0.4, s=1.0)} as r
+    from g left join qv on qv.px = g.px and qv.py = g.py left join ac on ac.px = g.px and ac.py = g.py)))""",
+    (TX, PIXELS, LBP_GRID, DISK),
 )
 def model21_pixel_prior(spark: SparkSession, d: str) -> DataFrame:
-    t = B.transcripts(spark, d).join(B.genes(spark, d).select("gene", "morans_i"), "gene", "left")
-    p = t.groupBy("px", "py").agg((F.count(F.lit(1)) / 10.0).alias("a"), F.max(F.coalesce("morans_i", F.lit(0.0))).alias("b"), F.max(F.coalesce("overlaps_nucleus", F.lit(0))).alias("c"))
-    return priors.combine(p, ["a", "b", "c"], "s").select("px", "py", r6("s").alias("belief"), M.positive(F.col("s")).alias("mask"))
+    """Structure, quality and ambient prior of every pixel, added and scaled; a panel flag stands for the local score, as in img03."""
+    g = B.genes(spark, d).select("gene", "morans_i", F.when(F.col("highly_variable"), 1.0).otherwise(0.5).alias("local"))
+    t = materialize(B.transcripts(spark, d).join(g, "gene", "left"), "molecules")
+    ex = raster.Extent.of(t)
+    n = t.groupBy("px", "py").agg(F.least(F.count(F.lit(1)) / 2.5, F.lit(1.0)).alias("p"))
+    structure = raster.dense_grid(n, "p", ex).select("px", "py", F.col("p").cast("double").alias("p_structure"))
+    p = priors.molecule_priors(structure, raster.quality_density(t, ex), raster.ambient_density(t, ("morans_i", "local"), ex))
+    return p.select("px", "py", r6("p").alias("belief"), M.positive(F.col("p")).alias("mask"))
 
 
 ARTEFACT = """art as (select *, case when nucleus_area is null or nucleus_area = 0 then 'nucleus_free' when control_codeword_counts > 0 and cell_area > (select avg(cell_area) from cells) then 'doublet' else 'none' end as artefact from cells)"""
@@ -167,11 +183,6 @@ def model14_cluster_prior(spark: SparkSession, d: str) -> DataFrame:
 
 # belief propagation -------------------------------------------------------------------------------
 
-PIXELS = "c as (select px, py, count(*) as n from tx group by 1, 2), e as (select min(px) as x0, max(px) as x1, min(py) as y0, max(py) as y1 from c)"
-LBP_GRID = """g0 as (select x0 + i as px, y0 + j as py from e, unnest(range(0, x1 - x0 + 1)) t(i), unnest(range(0, y1 - y0 + 1)) u(j)),
-g as (select g0.px, g0.py, least(coalesce(n, 0) / 2.5::double, 1) as p from g0 left join c on c.px = g0.px and c.py = g0.py), un as (select px, py, -ln(1 - p + 1e-8) as u0, -ln(p + 1e-8) as u1 from g)"""
-
-
 def _lbp_step(name: str, before: list[tuple[str, int, int]]) -> str:
     """Messages of one direction of the first iteration: own messages are 0 before."""
     joins = "".join(f" left join {n} m{i} on m{i}.px = u.px + {dx} and m{i}.py = u.py + {dy}" for i, (n, dy, dx) in enumerate(before))
