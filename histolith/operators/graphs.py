@@ -124,6 +124,23 @@ def neighbour_share(cells: DataFrame, flag: Column, *, radius: float = 30.0, key
     return cells.select(key).distinct().join(s, key, "left").fillna(0.0, ["share"])
 
 
+def marker_in_radius(cells: DataFrame, expr: DataFrame, markers: DataFrame, radii: list[int], *, key: str = "cell_id") -> DataFrame:
+    """celltype, gene, radius, mean_of_means, n_cells: for the ``markers`` (celltype, gene), the mean over the cells of the type of the mean
+    count in the other cells within each radius; cells without any neighbour in it do not count.
+
+    Cells around are counted in rings once, at the widest radius; only counts of marker genes join the pairs.
+    """
+    ranked = sorted(radii)
+    steps = F.explode(F.filter(F.array(*[F.lit(r) for r in ranked]), lambda r: r >= F.col("distance")))
+    kinds = cells.where(F.col("celltype").isNotNull()).select(F.col(key).alias("src"), "celltype")
+    pairs = materialize(radius_pairs(cells, float(ranked[-1]), key=key).select("src", "dst", "distance").join(kinds, "src"), "pairs-by-type")
+    around = pairs.select("src", "celltype", steps.alias("radius")).groupBy("src", "celltype", "radius").agg(F.count(F.lit(1)).alias("around"))
+    counted = expr.join(markers, "gene").select(F.col(key).alias("dst"), "celltype", "gene", "n")
+    sums = pairs.join(counted, ["dst", "celltype"]).select("src", "gene", "n", steps.alias("radius")).groupBy("src", "gene", "radius").agg(F.sum("n").alias("total"))
+    means = around.join(markers, "celltype").join(sums, ["src", "gene", "radius"], "left").select("celltype", "gene", "radius", (F.coalesce("total", F.lit(0)) / F.col("around")).alias("m"))
+    return means.groupBy("celltype", "gene", "radius").agg(F.avg("m").alias("mean_of_means"), F.count(F.lit(1)).alias("n_cells"))
+
+
 def communities(nodes: DataFrame, edges: DataFrame, *, key: str = "cell_id", rounds: int = 30) -> DataFrame:
     """key, community: label propagation over weighted edges (src, dst, weight in both directions).
 

@@ -17,7 +17,7 @@ from histolith.operators import delaunay, geometry, graphs, local_moran, mrf, pr
 from histolith.operators import models as M
 from histolith.operators import tabular as T
 from histolith.operators.proximity import points_within
-from histolith.session import materialize, spread, table
+from histolith.session import materialize, remove_stages, spread, table
 from histolith.sources import bundle as B
 from histolith.sources.files import MetricStore
 
@@ -268,6 +268,7 @@ def main(args: list[str] | None = None) -> None:
         made = section.result(name)
         for part, df in made.items() if isinstance(made, dict) else [(name, made)]:
             store.write(f"{name}/{part}" if isinstance(made, dict) else name, df)
+    remove_stages(spark)
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histolith.operators import geometry as G
@@ -10,7 +10,7 @@ from histolith.operators import graphs
 from histolith.operators import tabular as T
 from histolith.operators.proximity import points_in_rings, points_within
 from histolith.plans.sql import CELLS, EDGES, EXPR, RINGS, TX, with_
-from histolith.session import spread, table
+from histolith.session import materialize, spread, table
 from histolith.sources import bundle as B
 
 QUERIES: dict = {}
@@ -52,8 +52,6 @@ def join09_radius_pairs_with_self(spark: SparkSession, d: str) -> DataFrame:
 )
 def join10_nearest_of_same_gene(spark: SparkSession, d: str) -> DataFrame:
     """For each molecule outside of cells the nearest one of its gene inside of a cell, less than 100 away."""
-    from histolith.session import materialize
-
     t = materialize(B.transcripts(spark, d).where(F.col("gene") != B.NO_GENE).select("transcript_id", "gene", "cell_id", "x", "y"), "molecules")
     outside, inside = t.where(F.col("cell_id") == -1), t.where(F.col("cell_id") != -1).withColumnRenamed("transcript_id", "nearest_id")
     near = graphs.nearest(outside, inside, query_key="transcript_id", point_key="nearest_id", by="gene", within=100.0)
@@ -173,8 +171,8 @@ def img17_rasterised_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean transcript count of the cells that cover each pixel."""
     from histolith.operators import raster
 
-    r = B.rings(spark, d).join(B.cells(spark, d).select("cell_id", F.col("transcript_counts").cast("double").alias("v")), "cell_id")
-    pixels = raster.rasterise(spread(r), ["cell_id", "v"])
+    r = spread(B.rings(spark, d)).join(B.cells(spark, d).select("cell_id", F.col("transcript_counts").cast("double").alias("v")), "cell_id")
+    pixels = raster.rasterise(r, ["cell_id", "v"])
     return pixels.groupBy("px", "py").agg(r6(F.avg("v")).alias("mean"), F.count(F.lit(1)).alias("rings"))
 
 
@@ -223,8 +221,6 @@ W30 = "w as (select src, dst, 1.0::double / count(*) over (partition by src) as
 )
 def model10_global_moran(spark: SparkSession, d: str) -> DataFrame:
     """Moran's I of every gene over the cells within 30."""
-    from histolith.session import materialize
-
     c = B.cells(spark, d)
     edges = materialize(graphs.radius_pairs(c, 30.0).select("src", "dst"), "edges")
     expr = materialize(B.expression(B.transcripts(spark, d)).join(c.select("cell_id"), "cell_id", "left_semi"), "expression")
@@ -243,8 +239,6 @@ def model18_good_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def model27_communities(spark: SparkSession, d: str) -> DataFrame:
     """Communities of cells by label propagation, neighbours weighted by likeness of their metrics."""
-    from histolith.session import materialize
-
     c = B.cells(spark, d)
     m = c.select("cell_id", F.log1p("transcript_counts").alias("a"), F.log1p(F.coalesce("cell_area", F.lit(0.0))).alias("b"))
     e = graphs.radius_pairs(c, 25.0).join(m.toDF("src", "a1", "b1"), "src").join(m.toDF("dst", "a2", "b2"), "dst")
@@ -252,18 +246,25 @@ def model27_communities(spark: SparkSession, d: str) -> DataFrame:
     return graphs.communities(c, materialize(e.select("src", "dst", likeness.alias("weight")), "edges"))
 
 
+MARKERS = """mk as (select celltype, gene from (select celltype, gene, row_number() over (partition by celltype order by sum(n) desc, gene) as rk from expr join cells using (cell_id) where celltype is not null group by 1, 2) where rk <= 3)"""
+RADII = [20, 30, 40, 80, 100]
+
+
 @query(
-    """select round(avg(m), 6) as mean_of_means, count(*) as n_cells from (select src, avg(coalesce(e.n, 0)) as m from pairs p join cells a on a.cell_id = p.src join cells b on b.cell_id = p.dst left join expr e on e.cell_id = p.dst and e.gene = 'FON6'
-    where distance <= 40 and a.celltype = 'Stroma' group by src)""",
-    (TX, CELLS, EXPR, PAIRS),
+    """select celltype, gene, radius, round(avg(m), 6) as mean_of_means, count(*) as n_cells from (select a.celltype, mk.gene, r.radius, p.src, sum(coalesce(e.n, 0)) / count(*)::double as m
+    from (select a.cell_id as src, b.cell_id as dst, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as distance from cells a, cells b where a.cell_id <> b.cell_id and abs(a.x - b.x) <= 100 and abs(a.y - b.y) <= 100) p
+    join cells a on a.cell_id = p.src join mk on mk.celltype = a.celltype join (select unnest([20, 30, 40, 80, 100]) as radius) r on p.distance <= r.radius left join expr e on e.cell_id = p.dst and e.gene = mk.gene group by 1, 2, 3, 4) group by 1, 2, 3""",
+    (TX, CELLS, EXPR, MARKERS),
 )
 def agg37_marker_in_radius(spark: SparkSession, d: str) -> DataFrame:
-    """Mean over Stroma cells of the mean marker count of the cells within 40."""
+    """For each cell type, its three most counted genes and each radius, the mean over its cells of the mean count in the cells around."""
     c = B.cells(spark, d)
-    marker = B.expression(B.transcripts(spark, d)).where(F.col("gene") == "FON6").select(F.col("cell_id").alias("dst"), "n")
-    stroma = c.where(F.col("celltype") == "Stroma").select(F.col("cell_id").alias("src"))
-    m = graphs.radius_pairs(c, 40.0).join(stroma, "src", "left_semi").join(marker, "dst", "left").groupBy("src").agg(F.avg(F.coalesce("n", F.lit(0))).alias("m"))
-    return m.agg(r6(F.avg("m")).alias("mean_of_means"), F.count(F.lit(1)).alias("n_cells"))
+    expr = materialize(B.expression(B.transcripts(spark, d)), "expression")
+    totals = expr.join(c.where(F.col("celltype").isNotNull()).select("cell_id", "celltype"), "cell_id").groupBy("celltype", "gene").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("celltype").orderBy(F.col("n").desc(), "gene")
+    markers = totals.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 3).select("celltype", "gene")
+    found = graphs.marker_in_radius(c, expr, markers, RADII)
+    return found.select("celltype", "gene", "radius", r6("mean_of_means").alias("mean_of_means"), "n_cells")
 
 
 @query(

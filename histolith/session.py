@@ -33,6 +33,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
+def stage_dir(spark: SparkSession) -> str:
+    """The folder of this application's stages in the shared folder."""
+    return f"{scratch_dir(spark)}/histolith/{spark.sparkContext.applicationId}"
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete all stages this application has written; frames made from them cannot be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here.
 
@@ -40,7 +51,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     compressed columns, and a lost executor costs nothing but a re-read.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/histolith/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,7 +88,8 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Cut a frame of fewer partitions than the cluster has cores to as many, for work that outweighs a shuffle of the input.
 
-    A large input has more partitions than cores already and is left as it is.
+    A large input has more partitions than cores already and is left as it is. For scans and projections of them: to learn the
+    partitions of a join, Spark would run its stages.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -264,3 +264,16 @@ def test_long_edges_are_those_of_two_triangles(spark):
     t = [(1, 2, 3, ring((0, 0), (2, 0), (0, 90)), 90.0), (1, 2, 4, ring((0, 0), (2, 0), (0, -90)), 90.0)]
     v = delaunay.void_clusters(spark.createDataFrame(t, "a int, b int, c int, ring array<struct<x:double,y:double>>, longest double"), least=2)
     assert [(r.n_triangles, r.cluster != -1) for r in v.collect()] == [(2, True), (2, True)]
+
+
+def test_stages_are_removed(spark):
+    from pathlib import Path
+
+    from histolith import session
+
+    kept = session.materialize(spark.range(3), "kept-for-a-while")
+    folder = Path(session.stage_dir(spark).removeprefix("file:").replace("//", "/"))
+    assert kept.count() == 3 and any(p.name.startswith("kept-for-a-while") for p in folder.iterdir())
+    other = folder.parent / "another-application"
+    other.mkdir()
+    assert other.exists() and folder != other
