@@ -202,7 +202,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
     if total > fit_rows:
         voted = voted.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(fit_rows / total * 1_000_000))
     usable = docs.where(F.col(text).rlike(r"\S")).select(key, text).join(voted.hint("shuffle_hash") if total > 1_000_000 else voted, key)
-    stats = document_statistics(spread(usable), key, text, common_words).join(voted, key).orderBy(key).toPandas()
+    usable = usable.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # at most `fit_rows` labelled texts
+    stats = document_statistics(usable, key, text, common_words).join(voted, key).orderBy(key).toPandas()
     names = [c for c in stats.columns if c not in (key, "label", *SIZES)]
     return induce_rules(stats[names].to_numpy(float), stats["label"].to_numpy(object).astype(str), names)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Size parameter of the sketches; the rank error falls almost in proportion to it.
-K = 400
+K = 800
 #: Multiple of the 99 % rank error beyond which a sketch's answer is taken as decided.
 DOUBT = 3.0
 
@@ -91,7 +91,8 @@ def percentile_tests(
         # The sketch ranks inclusively: values equal to the bound are not below it, but they are not above it either.
         at = math.nextafter(bound, -math.inf) if sign == "<" else float(bound)
         rank = F.when(n > 0, F.kll_sketch_get_rank_double(F.col(f"{m}_sketch"), F.lit(at)))
-        margin = F.lit(DOUBT * rank_error(k)) + F.lit(2.0) / F.greatest(n, F.lit(1))
+        # Up to k values nothing has been compacted and the rank is exact; interpolation then reaches over one value on each side.
+        margin = F.when(n <= k, 0.0).otherwise(DOUBT * rank_error(k)) + F.lit(1.0) / F.greatest(n, F.lit(1))
         below = rank > share + margin  # enough values are below the bound
         above = rank < share - margin
         verdict = F.when(below, F.lit(sign == "<")).when(above, F.lit(sign == ">"))

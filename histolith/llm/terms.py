@@ -14,17 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of the record space by which each term is split.
-SLICES = 64
+#: Slices of the record space by which each term is split, at least; more on a cluster that shuffles to more partitions.
+SLICES, SLICES_A_PARTITION = 64, 4
 
 
-def term_frequencies(tokens: DataFrame, term: str | Column, record: str | Column, *, slices: int = SLICES) -> DataFrame:
+def term_frequencies(tokens: DataFrame, term: str | Column, record: str | Column, *, slices: int | None = None) -> DataFrame:
     """Columns ``term``, ``occurrences``, ``records`` of every distinct term.
 
     Defined cases: tokens whose term is null are left out; a null record counts as an
     occurrence in no record; repeated rows are occurrences of their own in one record; an
     empty input gives no rows; other columns are ignored.
     """
+    if slices is None:
+        slices = max(SLICES, SLICES_A_PARTITION * int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     term = F.col(term) if isinstance(term, str) else term
     record = F.col(record) if isinstance(record, str) else record
     t = tokens.select(term.alias("term"), record.alias("_record")).where(F.col("term").isNotNull())
