@@ -268,12 +268,16 @@ def test_long_edges_are_those_of_two_triangles(spark):
 
 def test_stages_are_removed(spark):
     from pathlib import Path
+    from urllib.parse import urlparse
 
     from histolith import session
 
-    kept = session.materialize(spark.range(3), "kept-for-a-while")
-    folder = Path(session.stage_dir(spark).removeprefix("file:").replace("//", "/"))
-    assert kept.count() == 3 and any(p.name.startswith("kept-for-a-while") for p in folder.iterdir())
+    assert session.materialize(spark.range(3), "kept-for-a-while").count() == 3
+    folder = Path(urlparse(session.stage_dir(spark)).path)
     other = folder.parent / "another-application"
-    other.mkdir()
-    assert other.exists() and folder != other
+    other.mkdir(exist_ok=True)
+    assert any(p.name.startswith("kept-for-a-while") for p in folder.iterdir())
+    session.remove_stages(spark)
+    assert other.exists() and not folder.exists()
+    assert session.materialize(spark.range(3), "again").count() == 3
+    other.rmdir()
