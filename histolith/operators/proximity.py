@@ -123,6 +123,10 @@ def near_pairs(
     heavy = _heavy_cells(index(p), look_up(q), cell, split_rows)
     once = (lambda df: df) if unique else (lambda df: df.distinct())
     p, q, keys = _salted(index(once(p)), look_up(once(q)), cell, heavy)
+    if unique:
+        # The pairs outweigh the rows they come from; by the size of these, adaptive execution would make one task of it all.
+        n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        p, q = p.repartition(n, *keys), q.repartition(n, *keys)
     return q.join(p, keys).withColumn("distance", exact).where(F.col("distance") <= radius).drop(*keys)
 
 
