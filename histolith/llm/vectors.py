@@ -10,10 +10,9 @@ sample, meet with the wanted probability. The entries of a vector grow like a sm
 of rows (``plan_index``). What meets and lies within the Hamming radius of the first 64
 bits is reranked by the cosine of the float vectors.
 
-A crowded bucket is cut again by further bits of the code, so its search radius shrinks where
-neighbours abound, and no bucket larger than a few times ``SPLIT_ROWS`` reaches a task. Vectors
-whose whole codes agree in such a number are compared block by block, and each block gives
-only the k best of each row: no table of all pairs is ever written.
+All pairs of a crowded bucket are compared too, by the float vectors and block by block; each block
+gives only the k best of each row, so no table of all pairs is ever written and no bucket larger than a
+few times ``SPLIT_ROWS`` reaches a task. That is quadratic in the rows of such a bucket.
 
 Exact copies (a third of all rows is assumed possible) are one class before any of this;
 their links among each other follow from the class and are never joined.
@@ -48,13 +47,11 @@ MEET, WITHIN = 0.98, 0.99
 LEAST_DRAWN = 0.6
 #: Cost of one comparison of two codes in a bucket, in entries written and sorted.
 COMPARISON = 0.05
-#: Entries of one bucket above which the bucket is cut by further bits.
+#: Entries of one bucket above which the bucket is compared in blocks.
 SPLIT_ROWS = 2_048
-#: Bits by which the key of a crowded bucket is lengthened, step by step; then the whole code is the key.
-LONGER = (6, 12, 24, 48)
 #: One in so many rows is counted to find crowded buckets.
 COUNTED = 16
-#: Rows of a side of a block in which equal codes are compared.
+#: Rows of a side of a block in which a crowded bucket is compared.
 BLOCK_ROWS = 2_048
 
 
@@ -175,16 +172,10 @@ class Index:
         """Codes that a vector is compared with, for balanced bits of unrelated vectors."""
         return self.tables * rows / 2**self.width
 
-    def keys(self, bits: np.ndarray, longer: int | None = 0) -> np.ndarray:
-        """Bucket of each code in each table, of substrings lengthened by some bits; of the whole code for ``None``."""
+    def keys(self, bits: np.ndarray) -> np.ndarray:
+        """Bucket of each code in each table."""
         n, w, m = len(bits), self.width, self.tables
-        if longer == 0:
-            return (bits[:, : w * m].reshape(n, m, w) @ (1 << np.arange(w)).astype(np.float64)).astype(np.int64) + (np.arange(m) << w)
-        weights = np.random.default_rng(longer or 0).integers(-(2**62), 2**62, self.bits + m) | 1
-        if longer is None:
-            return (bits.astype(np.int64) @ weights[: self.bits])[:, None]
-        at = (np.arange(m)[:, None] * w + np.arange(w + longer)) % self.bits
-        return np.stack([bits[:, at[j]].astype(np.int64) @ weights[: w + longer] + weights[self.bits + j] for j in range(m)], axis=1)
+        return (bits[:, : w * m].reshape(n, m, w) @ (1 << np.arange(w)).astype(np.float64)).astype(np.int64) + (np.arange(m) << w)
 
 
 def plan_index(rows: int, flips: np.ndarray) -> Index:
@@ -192,18 +183,19 @@ def plan_index(rows: int, flips: np.ndarray) -> Index:
 
     ``flips`` has the differing bits of simulated pairs at the threshold, a row per pair. A substring of w
     bits agrees with the chance (1-p)^w of each pair's own share p; there are as many as bring the mean chance of
-    an agreement to ``MEET``. Narrow substrings need few tables with crowded buckets, wide ones many
-    tables with empty buckets.
+    an agreement to ``MEET``, without a limit. Narrow substrings need few tables with crowded buckets, wide ones many
+    tables with empty buckets; where all of them cost more than all pairs, the width is 0: one bucket.
     """
     p = flips.mean(1)
-    best: tuple[float, int, int] | None = None
+    best = (1 + COMPARISON * rows / 2, 0, 1)
     for w in range(6, 33):
         miss = np.log1p(-((1 - p) ** w) * 0.999999)
+        each = 1 + COMPARISON * rows / 2**w / 2
         m = 1
-        while np.exp(miss * m).mean() > 1 - MEET and m < 2_000:
+        while np.exp(miss * m).mean() > 1 - MEET and m * each < best[0]:
             m += 1 if m < 64 else m // 16
-        cost = m * (1 + COMPARISON * rows / 2**w / 2)
-        if best is None or cost < best[0]:
+        cost = m * each
+        if cost < best[0]:
             best = (cost, w, m)
     radius = int(np.quantile(flips[:, :BITS].sum(1), WITHIN, method="higher"))
     return Index(best[1], best[2], radius)
@@ -221,12 +213,8 @@ def threshold_flips(sample: np.ndarray, coder: Coder, threshold: float, *, seed:
     return coder.bits(unit) ^ coder.bits(other)
 
 
-def file_entries(rows: DataFrame, coder: Coder, index: Index, dim: int, longer: int | None = 0) -> DataFrame:
-    """``_key``, ``_id``, ``_code`` (first 64 bits), ``_t`` (table): the entries of the rows.
-
-    A column ``_tables`` of the rows names the tables; without it, all are filed.
-    """
-    listed = "_tables" in rows.columns
+def file_entries(rows: DataFrame, coder: Coder, index: Index, dim: int) -> DataFrame:
+    """``_key``, ``_id``, ``_code`` (first 64 bits), ``_t`` (table): the entries of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,28 +223,22 @@ def file_entries(rows: DataFrame, coder: Coder, index: Index, dim: int, longer:
                 continue
             bits = coder.bits(unit_rows(_matrix(batch.column("_vec"), dim)))
             code = np.packbits(bits[:, :BITS], axis=1, bitorder="little").view("<i8").ravel()
-            keys = index.keys(bits, longer)
+            keys = index.keys(bits)
             m = keys.shape[1]
-            if listed and longer is not None:
-                column = batch.column("_tables")
-                row = np.repeat(np.arange(n), column.value_lengths().to_numpy(zero_copy_only=False))
-                at = np.asarray(column.flatten())
-            else:
-                row, at = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+            row, at = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[row, at]), batch.column("_id").take(pa.array(row)), pa.array(code[row]), pa.array(at.astype(np.int32))], names=["_key", "_id", "_code", "_t"]
             )
 
     kind = rows.schema["_id"].dataType.simpleString()
-    columns = ["_id", "_vec", "_tables"] if listed else ["_id", "_vec"]
-    return map_arrow(rows.select(*columns), run, f"_key bigint, _id {kind}, _code bigint, _t int")
+    return map_arrow(rows.select("_id", "_vec"), run, f"_key bigint, _id {kind}, _code bigint, _t int")
 
 
-def crowded_keys(rows: DataFrame, coder: Coder, index: Index, dim: int, longer: int | None, split_rows: int) -> DataFrame:
+def crowded_keys(rows: DataFrame, coder: Coder, index: Index, dim: int, split_rows: int) -> DataFrame:
     """``_key`` of the buckets that hold more than about ``split_rows`` entries, by a hashed share of the rows."""
     one_in = COUNTED if split_rows >= 8 * COUNTED else 1
     part = rows.where(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(one_in)) == 0) if one_in > 1 else rows
-    counts = file_entries(part, coder, index, dim, longer).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    counts = file_entries(part, coder, index, dim).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     return counts.where(F.col("_n") > split_rows // one_in).select("_key")
 
 
@@ -265,7 +247,7 @@ def meeting_pairs(entries: DataFrame, index: Index, *, first_only: bool) -> Data
 
     With ``first_only`` a pair counts only in the first of the tables, of those the code shows, in which it meets.
     """
-    shown = min(index.tables, BITS // index.width)
+    shown = min(index.tables, BITS // max(index.width, 1))
     ones = np.uint64((1 << index.width) - 1)
 
     def meet(key: np.ndarray, code: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,14 +295,22 @@ def meeting_pairs(entries: DataFrame, index: Index, *, first_only: bool) -> Data
     return map_arrow(entries.repartition("_key").sortWithinPartitions("_key"), run, f"_x {kind}, _y {kind}")
 
 
-def block_pairs(rows: DataFrame, coder: Coder, index: Index, dim: int, k: int, threshold: float) -> DataFrame:
-    """``_x``, ``_y``: each row's k best of every block among the rows of an equal code (more, where equally good).
+def block_pairs(rows: DataFrame, coder: Coder, index: Index, dim: int, k: int, threshold: float, crowded: DataFrame | None = None) -> DataFrame:
+    """``_x``, ``_y``: each row's k best of every block among the rows of a bucket (more, where equally good).
 
-    Exact, and quadratic in the rows of a code: a row is sent to every block of them.
+    Of the buckets ``crowded`` names; without it, of all. Exact, and quadratic in the rows of a bucket: a row is sent to every
+    block of them. Where the buckets overlap so much that all rows in them have fewer pairs, all these rows are one bucket.
     """
-    keyed = file_entries(rows, coder, index, dim, None).select("_key", "_id").join(rows.select("_id", "_vec"), "_id")
-    sizes = keyed.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
-    keyed = keyed.join(sizes, "_key").withColumn("_own", F.pmod(F.xxhash64("_id", F.lit(5)), F.col("_blocks")).cast("int"))
+    keyed = file_entries(rows, coder, index, dim).select("_key", "_id")
+    keyed = materialize(keyed if crowded is None else keyed.join(crowded, "_key", "left_semi"), "dense")
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") ** 2)).first()[0] or 0.0
+    if pairs > float(keyed.select("_id").distinct().count()) ** 2:
+        keyed = keyed.select(F.lit(0).cast("bigint").alias("_key"), "_id").distinct()
+        sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_key", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks"))
+    keyed = keyed.join(rows.select("_id", "_vec"), "_id").join(sizes, "_key")
+    keyed = keyed.withColumn("_own", F.pmod(F.xxhash64("_id", F.lit(5)), F.col("_blocks")).cast("int"))
     sent = keyed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     sent = sent.select("_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "_id", "_vec")
     kind = rows.schema["_id"].dataType.simpleString()
@@ -330,13 +320,19 @@ def block_pairs(rows: DataFrame, coder: Coder, index: Index, dim: int, k: int, t
         unit = unit_rows(_matrix(group.column("_vec"), dim))
         first, second = np.nonzero(own == own.min())[0], np.nonzero(own == own.max())[0]
         left, right = [], []
-        for a, b in ((first, second), (second, first))[: 1 if own.min() == own.max() else 2]:
+        one = own.min() == own.max()
+        for a, b in ((first, second), (second, first))[: 1 if one else 2]:
             for i in range(0, len(a), 512):
                 part = a[i : i + 512]
                 cos = unit[part] @ unit[b].T
-                cos[part[:, None] == b[None, :]] = -2.0
-                least = np.partition(cos, -min(k, len(b)), axis=1)[:, -min(k, len(b))] - 1e-12
-                x, y = np.nonzero((cos >= least[:, None]) & (cos >= threshold - 1e-9))
+                if one:
+                    cos[part[:, None] == b[None, :]] = -2.0
+                good = cos >= threshold - 1e-9
+                many = np.nonzero(np.count_nonzero(good, axis=1) > k)[0]
+                if len(many):
+                    least = np.partition(cos[many], -k, axis=1)[:, -k] - 1e-12
+                    good[many] &= cos[many] >= least[:, None]
+                x, y = np.nonzero(good)
                 left.append(part[x])
                 right.append(b[y])
         return pa.table({"_x": ids.take(pa.array(np.concatenate(left))), "_y": ids.take(pa.array(np.concatenate(right)))})
@@ -346,32 +342,15 @@ def block_pairs(rows: DataFrame, coder: Coder, index: Index, dim: int, k: int, t
 
 
 def candidate_pairs(rows: DataFrame, coder: Coder, index: Index, dim: int, k: int, threshold: float, *, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Distinct ``_a`` < ``_b`` that meet in a bucket and lie within the Hamming radius."""
-    found: list[DataFrame] = []
-    todo, crowded_at_all = rows.select("_id", "_vec"), False
-    for longer in (0, *LONGER):
-        crowded = materialize(crowded_keys(todo, coder, index, dim, longer, split_rows), "crowded")
-        entries = file_entries(todo, coder, index, dim, longer)
-        if crowded.isEmpty():
-            found.append(meeting_pairs(entries, index, first_only=not crowded_at_all))
-            todo = None
-            break
-        crowded_at_all = True
-        entries = materialize(entries, "entries")
-        found.append(meeting_pairs(entries.join(crowded, "_key", "left_anti"), index, first_only=False))
-        again = entries.join(crowded, "_key", "left_semi").groupBy("_id").agg(F.collect_list("_t").alias("_tables"))
-        todo = materialize(rows.select("_id", "_vec").join(again, "_id"), "crowded-rows")
-    if todo is not None:
-        # What no lengthening has parted agrees in very many bits; whole codes that are rare are one bucket, the others go by blocks.
-        todo = todo.select("_id", "_vec")
-        crowded = materialize(crowded_keys(todo, coder, index, dim, None, split_rows), "crowded")
-        entries = materialize(file_entries(todo, coder, index, dim, None), "entries")
-        found.append(meeting_pairs(entries.join(crowded, "_key", "left_anti"), index, first_only=False))
-        dense = todo.join(entries.join(crowded, "_key", "left_semi").select("_id"), "_id")
-        found.append(block_pairs(dense, coder, index, dim, k, threshold))
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
+    """Distinct ``_a`` < ``_b`` that meet in a bucket and lie within the Hamming radius; of a crowded bucket the k best of each row, at any Hamming distance."""
+    rows = rows.select("_id", "_vec")
+    crowded = materialize(crowded_keys(rows, coder, index, dim, split_rows), "crowded")
+    entries = file_entries(rows, coder, index, dim)
+    if crowded.isEmpty():
+        out = meeting_pairs(entries, index, first_only=True)
+    else:
+        out = meeting_pairs(entries.join(crowded, "_key", "left_anti"), index, first_only=False)
+        out = out.unionByName(block_pairs(rows, coder, index, dim, k, threshold, crowded))
     return out.select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b")).distinct()
 
 

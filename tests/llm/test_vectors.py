@@ -122,3 +122,25 @@ def test_equal_codes_by_blocks(spark, monkeypatch):
     got = {(min(r), max(r)) for r in V.block_pairs(df, coder, index, DIM, 3, 0.9).collect()}
     assert got >= brute(list(range(70)), x, 3, 0.9)
     assert len(got) <= 70 * 3 * 5
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    """Pairs that agree in a crowded bucket and in no further bits are found; rows that meet in several such buckets too."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=DIM) + 0.2 * rng.normal(size=(400, DIM))
+    index, coder = V.Index(8, 4, 14), V.Coder(np.zeros(DIM), rng.normal(size=(DIM, 64)))
+    keys = index.keys(coder.bits(V.unit_rows(x)))
+    want = {(i, j) for i, j in brute(list(range(400)), x, 3, 0.95) if (keys[i] == keys[j]).any()}
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "_id long, _vec array<double>")
+    got = {(r[0], r[1]) for r in V.candidate_pairs(df, coder, index, DIM, 3, 0.95, split_rows=8).collect()}
+    assert len(want) > 500 and not want - got
+
+
+@pytest.mark.parametrize("share", [0.25, 0.45])
+def test_tables_have_no_limit(share):
+    """Pairs far apart meet with the wanted chance at any size, by as many tables as that takes or in one bucket."""
+    flips = (np.random.default_rng(5).random((2_000, 256)) < share).astype(np.uint8)
+    p = flips.mean(1)
+    for n in (10**4, 10**8, 10**9):
+        index = V.plan_index(n, flips)
+        assert (1 - (1 - (1 - p) ** index.width) ** index.tables).mean() >= V.MEET - 0.001
