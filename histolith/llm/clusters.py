@@ -6,17 +6,17 @@ pass over all rows collects the sufficient statistics of every candidate in one
 sums are added up in a tree, and only a few matrices reach the driver. Covariances are
 regularised towards a sphere, every mixture has one broad background component
 for records like no group, and the Bayesian information criterion over all rows picks the size.
-The starting points of the mixture come from a bounded sample, on which most candidates are weeded out. What it leaves
-unexplained is searched again: slice by slice every such record is tried as the seed of one more group, its neighbours counted over
-all of them, so neither the number of groups nor their share of the table is limited. That search is quadratic in the
-unexplained records. The groups it finds get axes and components of their own, and expectation-maximisation goes on with them over all rows.
+The starting points of the mixture come from all rows: a small table is compared at once, in others slice by slice every record that no group found so far explains is tried as
+that is no member of a group found so far is tried as the seed of one more, its neighbours counted over all such records, so neither the number of groups nor their share of the table is limited.
+That search is quadratic in the records like no group. What the mixture leaves unexplained is searched once more; the groups that
+finds get axes and components of their own, and expectation-maximisation goes on with them over all rows. No sample is drawn.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from math import ceil, lgamma, log
+from math import lgamma, log
 from statistics import NormalDist
 
 import numpy as np
@@ -24,27 +24,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from histolith.llm.vectors import _matrix, distinct_vectors, hashed_sample, unit_rows
+from histolith.llm.vectors import _matrix, distinct_vectors, unit_rows
 from histolith.session import map_arrow, materialize
 
-#: Rows of which the starting points are taken.
-SEED_ROWS = 4_096
 #: Partial sums that one task adds up.
 FAN_IN = 64
 #: Records of one group are at least this similar on average, records of different groups less.
 SIMILAR = 0.4
 #: Pseudo-rows by which a covariance is drawn to the sphere of the noise.
 PRIOR_ROWS = 20.0
-#: Candidate sizes that are fitted side by side, in two shapes each; passes over the sample, and how many of them go on to all rows.
+#: Candidate sizes that are fitted side by side over all rows, in two shapes each.
 CANDIDATES = 8
-SAMPLE_PASSES, KEPT_CANDIDATES = 10, 2
 JOINT_PASSES, FINAL_PASSES = 3, 12
 #: Mahalanobis distance, in standard deviations of its chi distribution, up to which a record counts for the mean of its group.
 REACH = 4.5
 #: A record belongs to a group if its mean cosine with the members is at least this part of `similar`.
 LIKE_MEMBERS = 0.8
-#: Unexplained records tried as seeds in one pass over all unexplained records, on average.
-SLICE_ROWS = 3_500
+#: Part of the squared length of a group's mean that the axes may miss before it gets an axis of its own.
+MISSED = 0.1
+#: Unexplained records tried as seeds in one pass over all unexplained records, on average; fewer at first, when none is explained.
+SLICE_ROWS, FIRST_ROWS = 3_500, 500
+#: Tables of no more rows are compared at once, on the driver.
+WHOLE_ROWS = 4_096
+#: Range of the hashes by which records are dealt to slices.
+PLACES = 1 << 40
 #: Expected number of groups that chance makes of unrelated records.
 BY_CHANCE = 0.01
 #: Rows whose cosines with all seeds are held at a time.
@@ -89,6 +92,12 @@ class Reduction:
     def apply(self, unit: np.ndarray) -> np.ndarray:
         return (unit - self.mean) @ (self.axes / self.std[:, None])
 
+    def missed(self, directions: np.ndarray) -> np.ndarray:
+        """Those of the directions that the axes do not show well enough."""
+        v = (directions - self.mean) / self.std
+        left = v - v @ self.axes @ self.axes.T
+        return directions[(left**2).sum(1) > MISSED * (v**2).sum(1)]
+
     def widened(self, directions: np.ndarray) -> Reduction:
         """With further axes, in which the means of ``directions`` differ from the overall mean."""
         axes = self.axes
@@ -127,7 +136,7 @@ def fit_reduction(vectors: DataFrame, dim: int) -> tuple[Reduction, int]:
 
 @dataclass
 class Mixture:
-    """Weights, means and covariances; the last component is the broad background."""
+    """Weights, means and covariances; the last component is the broad background. All covariances of a spherical one are spheres."""
 
     weights: np.ndarray
     means: np.ndarray
@@ -139,6 +148,10 @@ class Mixture:
         """log(weight * density) and squared Mahalanobis distance by row and component."""
         n, d = z.shape
         k = len(self.weights)
+        if self.spherical:
+            level = self.covs[:, 0, 0]
+            maha = np.maximum((z * z).sum(1)[:, None] - 2 * z @ self.means.T + (self.means**2).sum(1), 0) / level
+            return np.log(np.maximum(self.weights, 1e-300)) - 0.5 * (maha + d * np.log(2 * np.pi * level)), maha
         out, maha = np.empty((n, k)), np.empty((n, k))
         for j in range(k):
             chol = np.linalg.cholesky(self.covs[j])
@@ -148,13 +161,16 @@ class Mixture:
         return out, maha
 
     def statistics(self, z: np.ndarray) -> np.ndarray:
-        """Log-likelihood, then counts, sums and second moments of the components, flat."""
+        """Log-likelihood, then counts, sums and second moments (of a spherical one their mean on the diagonal) of the components, flat."""
         log, _ = self.log_density(z)
         top = log.max(1, keepdims=True)
         p = np.exp(log - top)
         total = p.sum(1, keepdims=True)
         r = p / total
-        second = [(z * r[:, j : j + 1]).T @ z for j in range(len(self.weights))]
+        if self.spherical:
+            second = ((z * z).sum(1) @ r)[:, None, None] * np.eye(z.shape[1]) / z.shape[1]
+        else:
+            second = [(z * r[:, j : j + 1]).T @ z for j in range(len(self.weights))]
         return np.concatenate([[float((top + np.log(total)).sum())], r.sum(0), (r.T @ z).ravel(), np.array(second).ravel()])
 
     def length(self) -> int:
@@ -186,7 +202,7 @@ class Mixture:
 
 
 def seed_members(unit: np.ndarray, similar: float) -> list[np.ndarray]:
-    """Rows of dense neighbourhoods of a sample, densest first, no row in two of them."""
+    """Rows of dense neighbourhoods of a small table, densest first, no row in two of them."""
     near = (unit @ unit.T).astype(np.float32) >= similar
     free = np.ones(len(unit), bool)
     least = max(4, len(unit) // 1000)
@@ -211,40 +227,6 @@ def seed_members(unit: np.ndarray, similar: float) -> list[np.ndarray]:
     return out
 
 
-def candidate_mixtures(unit: np.ndarray, reduction: Reduction, similar: float) -> list[Mixture]:
-    """Mixtures of several sizes, each of the densest neighbourhoods of the sample."""
-    z = reduction.apply(unit)
-    seeds = seed_members(unit, similar)
-    d = z.shape[1]
-    overall = np.cov(z.T).reshape(d, d) * 1.5 + 1e-6 * np.eye(d) if len(z) > 1 else np.eye(d)
-    most = len(seeds)
-    if not most:
-        return []
-    sizes = sorted({most, *[max(1, round(most * s)) for s in np.linspace(0.3, 1.0, CANDIDATES)]})
-    out = []
-    for k in sizes:
-        means = np.array([z[m].mean(0) for m in seeds[:k]])
-        level = np.array([max(float(np.mean((z[m] - z[m].mean(0)) ** 2)), reduction.noise * 0.25) for m in seeds[:k]])
-        weights = np.array([len(m) for m in seeds[:k]], float) / len(z)
-        covs = np.concatenate([level[:, None, None] * np.eye(d), overall[None]])
-        weights = np.append(weights, max(0.02, 1 - weights.sum()))
-        for spherical in (False, True):
-            out.append(Mixture(weights / weights.sum(), np.vstack([means, z.mean(0)]), covs, spherical))
-    return out
-
-
-def weed_candidates(candidates: list[Mixture], z: np.ndarray, noise: float, n: int) -> list[Mixture]:
-    """The ``KEPT_CANDIDATES`` of least information criterion on the sample, its likelihood scaled up to ``n`` rows."""
-
-    def refined(m: Mixture) -> Mixture:
-        for _ in range(SAMPLE_PASSES):
-            m = m.step(m.statistics(z), noise)
-        return m
-
-    fitted = [refined(m) for m in candidates]
-    return sorted(fitted, key=lambda m: -2 * m.loglik * n / max(len(z), 1) + m.parameters() * np.log(max(n, 2)))[:KEPT_CANDIDATES]
-
-
 def _pass(features: DataFrame, mixtures: list[Mixture], d: int, noise: float) -> list[Mixture]:
     """One expectation step over all rows for every candidate, and the maximisation."""
 
@@ -317,15 +299,19 @@ def _directions(sums: np.ndarray) -> np.ndarray:
 def further_groups(rest: DataFrame, n: int, dim: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts of the members of the groups among ``n`` rows that no group explains.
 
-    Every row is a seed once. Its neighbourhood, closer than chance, gives a centre, and the rows around the centre the members;
-    a group has at least ``least_members`` with a mean cosine as in ``name_groups``.
+    Every row is a seed once, unless a group found before explains it. Its neighbourhood, closer than chance, gives a centre, and the rows
+    around the centre the members; a group has at least ``least_members`` with a mean cosine as in ``name_groups``.
     """
     like, around = LIKE_MEMBERS * similar, np.sqrt(similar) * 0.9
-    least, slices = least_members(n, dim, similar), ceil(n / SLICE_ROWS)
+    least = least_members(n, dim, similar)
     close = max(similar, NormalDist().inv_cdf(1 - 1 / max(n, 2)) / np.sqrt(dim))
     sums, counts = np.zeros((0, dim)), np.zeros(0)
-    for s in range(slices if n >= least else 0):
-        seeds = unit_rows(_matrix(rest.where(F.pmod(F.xxhash64("_id"), F.lit(slices)) == s).select("_vec").toArrow().column("_vec"), dim))
+    place = F.pmod(F.xxhash64("_id"), F.lit(PLACES))
+    start, left, size = 0, n, FIRST_ROWS if n > SLICE_ROWS else n
+    while start < PLACES and left >= least:
+        end = min(PLACES, start + PLACES * size // max(left, 1) + 1)
+        seeds = unit_rows(_matrix(rest.where((place >= start) & (place < end)).select("_vec").toArrow().column("_vec"), dim))
+        start, size, found = end, SLICE_ROWS, len(counts)
         known = sums / counts[:, None]
         while True:
             if len(known) and len(seeds):
@@ -348,9 +334,37 @@ def further_groups(rest: DataFrame, n: int, dim: int, similar: float) -> tuple[n
                     known = sums / counts[:, None]
             if len(counts) == before:
                 break
+        if len(counts) > found and start < PLACES:
+            rest = _unlike(rest, known, like)
+            left = rest.count()
     return sums, counts
 
 
+def starting_groups(vectors: DataFrame, n: int, dim: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the members of the groups from which the mixture starts, always of all rows; at once where they are few."""
+    if n > WHOLE_ROWS:
+        return further_groups(vectors, n, dim, similar)
+    unit = unit_rows(_matrix(vectors.select("_vec").toArrow().column("_vec"), dim)) if n else np.zeros((0, dim))
+    members = seed_members(unit, similar)
+    return np.array([unit[m].sum(0) for m in members]).reshape(-1, dim), np.array([float(len(m)) for m in members])
+
+
+def _unlike(rows: DataFrame, known: np.ndarray, like: float) -> DataFrame:
+    """``_id``, ``_vec`` of the rows that are like no known group."""
+    dim = known.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array((unit_rows(_matrix(batch.column("_vec"), dim)) @ known.T).max(1) < like))
+
+    return materialize(map_arrow(rows.select("_id", "_vec"), run, f"_id {_kind(rows, '_id')}, _vec {_kind(rows, '_vec')}"), "unlike")
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def similarity_groups(df: DataFrame, key: str, vec: str, *, dim: int, similar: float = SIMILAR) -> DataFrame:
     """``key``, ``group``, ``density`` of the records that belong to a group; groups count from 0, largest first.
 
@@ -365,13 +379,17 @@ def similarity_groups(df: DataFrame, key: str, vec: str, *, dim: int, similar: f
     are ignored.
     """
     vectors = materialize(distinct_vectors(df, key, vec, dim), "vectors")
-    kind = vectors.schema["_id"].dataType.simpleString()
+    kind = _kind(vectors, "_id")
     reduction, n = fit_reduction(vectors, dim)
-    sample = hashed_sample(vectors, "_id", SEED_ROWS, n).toArrow()
-    unit = unit_rows(_matrix(sample.column("_vec"), dim)) if n else np.zeros((0, dim))
-    candidates = weed_candidates(candidate_mixtures(unit, reduction, similar), reduction.apply(unit), reduction.noise, n) if n else []
-    model = _fitted(vectors, reduction, candidates, dim, n, similar)
     like = LIKE_MEMBERS * similar
+    sums, numbers = starting_groups(vectors, n, dim, similar)
+    candidates = []
+    if len(numbers):
+        means = (sums / numbers[:, None])[np.argsort(-numbers, kind="stable")]
+        reduction = reduction.widened(reduction.missed(means))
+        sizes = sorted({max(1, round(len(means) * s)) for s in np.linspace(0.3, 1.0, CANDIDATES)})
+        candidates = _started(vectors, reduction, means, like, n, sizes)
+    model = _fitted(vectors, reduction, candidates, dim, n, similar)
 
     def unexplained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,13 +397,13 @@ def similarity_groups(df: DataFrame, key: str, vec: str, *, dim: int, similar: f
                 likeness = model.assign(unit_rows(_matrix(batch.column("_vec"), dim)))[2]
                 yield batch.filter(pa.array(likeness < like))
 
-    rest = materialize(map_arrow(vectors.select("_id", "_vec"), unexplained, f"_id {kind}, _vec {vectors.schema['_vec'].dataType.simpleString()}"), "rest")
+    rest = materialize(map_arrow(vectors.select("_id", "_vec"), unexplained, f"_id {kind}, _vec {_kind(vectors, '_vec')}"), "rest")
     more, numbers = further_groups(rest, rest.count(), dim, similar)
     final = model
     if len(numbers):
         means = np.vstack([model.means[: model.groups], more / numbers[:, None]])
         wider = reduction.widened(more / numbers[:, None])
-        final = _fitted(vectors, wider, _restarted(vectors, wider, means, like, n), dim, n, similar, known=means)
+        final = _fitted(vectors, wider, _started(vectors, wider, means, like, n, [len(means)]), dim, n, similar, known=means)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -461,8 +479,8 @@ def _fitted(vectors: DataFrame, reduction: Reduction, candidates: list[Mixture],
     return Grouping(reduction, mixture, names, means)
 
 
-def _restarted(vectors: DataFrame, reduction: Reduction, means: np.ndarray, like: float, n: int) -> list[Mixture]:
-    """Mixtures of both shapes with a component for each known group, started from the rows nearest to its mean."""
+def _started(vectors: DataFrame, reduction: Reduction, means: np.ndarray, like: float, n: int, sizes: list[int]) -> list[Mixture]:
+    """Mixtures of both shapes with a component for each of the first known groups, started from the rows nearest to its mean."""
     k, d = len(means), reduction.axes.shape[1]
 
     def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
@@ -486,9 +504,13 @@ def _restarted(vectors: DataFrame, reduction: Reduction, means: np.ndarray, like
     whole = total[:, :].sum(0)
     centre = whole[1:-1] / max(whole[0], 1)
     centres[k], level[k] = centre, 1.5 * max(whole[-1] / max(whole[0], 1) - (centre**2).sum(), reduction.noise) / d
-    weights = np.append(counts[:k] / max(n, 1), max(0.02, total[k, 0] / max(n, 1)))
-    covs = level[:, None, None] * np.eye(d)
-    return [Mixture(weights / weights.sum(), centres, covs, shape) for shape in (True, False)]
+    out = []
+    for size in sizes:
+        taken = [*range(size), k]
+        weights = np.append(counts[:size] / max(n, 1), max(0.02, 1 - total[:size, 0].sum() / max(n, 1)))
+        covs = level[taken][:, None, None] * np.eye(d)
+        out += [Mixture(weights / weights.sum(), centres[taken], covs, shape) for shape in (True, False)]
+    return out
 
 
 def named_means(totals: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:

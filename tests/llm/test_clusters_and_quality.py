@@ -69,6 +69,18 @@ def test_groups_too_rare_for_the_sample(spark):
     assert n == 5 and share >= 0.97 and extra <= 50 and least >= 10
 
 
+def test_candidates_come_from_all_rows(spark, monkeypatch):
+    """Groups too rare for a sample of thousands have components from the start, and every candidate is fitted over all rows."""
+    seen = []
+    fit = C.fit_mixture
+    monkeypatch.setattr(C, "fit_mixture", lambda features, candidates, *rest: seen.append((features.count(), candidates)) or fit(features, candidates, *rest))
+    n, share, extra, least = purity(spark, [6_000, 4_000, 14, 14, 14], 2_000, 64)
+    assert n == 5 and share >= 0.97 and extra <= 20 and least >= 10
+    rows, candidates = seen[0]
+    assert rows == 12_042 and sorted({len(m.weights) - 1 for m in candidates}) == [2, 3, 4, 5]
+    assert all(sum(len(m.weights) == k and m.spherical == s for m in candidates) == 1 for k in (3, 4, 5, 6) for s in (True, False))
+
+
 def test_too_few_rows_for_groups(spark):
     df = spark.createDataFrame([(1, [1.0] * DIM), (2, [-1.0] * DIM)], "id long, v array<float>")
     assert C.similarity_groups(df, "id", "v", dim=DIM).count() == 0
